@@ -109,15 +109,19 @@ def words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return hashes, first, starts - base, ends - base
 
 
-def shingles(hashes: np.ndarray, first: np.ndarray, k: int = 5) -> Iterator[np.ndarray]:
-    """For each row the hashes of its k-word shingles by position; with fewer words
-    the whole sequence as one, without words none."""
+def shingle_body(hashes: np.ndarray, k: int = 5) -> np.ndarray:
+    """The hash of each k consecutive words; shingles across rows are among them."""
     keys = stream(2, k + 1)
-    n = hashes.size
-    body = np.zeros(max(0, n - k + 1), _U)
+    body = np.zeros(max(0, hashes.size - k + 1), _U)
     for j in range(k):
         body += hashes[j : j + body.size] * keys[j]
-    body = mix(body)
+    return mix(body)
+
+
+def shingles(hashes: np.ndarray, first: np.ndarray, k: int = 5) -> Iterator[np.ndarray]:
+    """For each row the hashes of its k-word shingles by position; with fewer words
+    the whole sequence as one, without words none."""
+    keys, body = stream(2, k + 1), shingle_body(hashes, k)
     for a, b in zip(first[:-1], first[1:], strict=True):
         if b - a >= k:
             yield body[a : b - k + 1]
