@@ -13,3 +13,9 @@ def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """doc_id and text of the documents whose doc_id is in ids, once each."""
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     return docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+
+
+def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs whose doc_id isn't in ids; rows without an id stay."""
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_anti")
