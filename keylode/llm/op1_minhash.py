@@ -21,7 +21,6 @@ are ignored, whatever their names.
 
 from __future__ import annotations
 
-from collections import OrderedDict
 from collections.abc import Iterator
 from hashlib import blake2b
 
@@ -33,6 +32,7 @@ from pyspark.sql import functions as F
 
 from keylode.llm import textvec
 from keylode.llm.components import components
+from keylode.llm.participants import texts_of
 from keylode.llm.work import Work, read
 
 #: 40 bands of 4 minima: a pair at similarity 0.75 meets in none with probability 2.5e-7.
@@ -109,20 +109,6 @@ def _alike(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return both.mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """rep, words: the sorted shingle set (64-bit hashes) of each of the ids."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
-                hashes, first, _, _ = textvec.words(part.column(1))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([np.unique(x).tobytes() for x in textvec.shingles(hashes, first)], pa.binary())], names=["rep", "words"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    own = docs.join(ids, docs["doc_id"] == ids["rep"], "left_semi").select("doc_id", "text")
-    return own.mapInArrow(run, f"rep {kind}, words binary").dropDuplicates(["rep"])
-
-
 def _linked(x: np.ndarray, y: np.ndarray) -> bool:
     if 100 * min(x.size, y.size) < PERCENT * max(x.size, y.size):
         return False
@@ -131,24 +117,28 @@ def _linked(x: np.ndarray, y: np.ndarray) -> bool:
     return 100 * shared >= PERCENT * (x.size + y.size - shared)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _shingle_sets(column: pa.Array) -> list[np.ndarray]:
+    hashes, first, _, _ = textvec.words(column)
+    return [np.unique(x) for x in textvec.shingles(hashes, first)]
+
+
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs whose full shingle sets are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        recent: OrderedDict = OrderedDict()
+        last, own = None, np.zeros(0, np.uint64)
         for batch in batches:
-            ok = []
-            for a, left, right in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3), strict=True):
-                if a not in recent:
-                    recent[a] = np.frombuffer(left.as_py(), np.uint64)
-                    if len(recent) > 64:
-                        recent.popitem(last=False)
-                ok.append(_linked(recent[a], np.frombuffer(right.as_py(), np.uint64)))
-            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            for part in (batch.slice(i, 200) for i in range(0, batch.num_rows, 200)):
+                ok, right = [], _shingle_sets(part.column(3))
+                for i, a in enumerate(part.column(0).to_pylist()):
+                    if a != last:
+                        last, own = a, _shingle_sets(part.column(2).slice(i, 1))[0]
+                    ok.append(_linked(own, right[i]))
+                yield part.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     kind = pairs.schema["a"].dataType.simpleString()
-    left, right = (sets.select(F.col("rep").alias(k), F.col("words").alias(f"words_{k}")) for k in "ab")
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "words_a", "words_b").mapInArrow(run, f"a {kind}, b {kind}")
+    left, right = (texts.select(F.col("doc_id").alias(k), F.col("text").alias(f"text_{k}")) for k in "ab")
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(run, f"a {kind}, b {kind}")
 
 
 def _forest(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -157,7 +147,7 @@ def _forest(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     rows = rows.drop_duplicates("rep").sort_values("rep").reset_index(drop=True)
     bands = np.stack(rows["bands"].to_numpy()) if len(rows) else np.zeros((0, BANDS), np.int64)
     minima = bands.view(np.uint16)
-    sets = [np.frombuffer(x, np.uint64) for x in rows["words"]]
+    sets = _shingle_sets(pa.array(rows["text"], pa.string()))
     reps, parent = rows["rep"].tolist(), {c: c for c in rows["component"].tolist()}
     comps = rows["component"].tolist()
     codes = rows["component"].astype("category").cat.codes.to_numpy()
@@ -197,14 +187,14 @@ def _across(members: DataFrame, comp: DataFrame, tested: DataFrame, classes: Dat
     close = work.table(_alike(pairs.join(tested, ["a", "b"], "left_anti"), classes), "close")
 
     many = left.where(F.col("n") > PAIRS_UP_TO).withColumn("chunks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("chunk", F.expr("cast(pmod(xxhash64(rep, key), chunks) as int)"))
-    ids = many.select("rep").union(close.select("a")).union(close.select("b")).distinct()
-    sets = work.table(_sets(docs, ids), "open_sets")
-    few_links = _verified(close, sets)
+    ids = many.select(F.col("rep").alias("doc_id")).union(close.select("a")).union(close.select("b")).distinct()
+    texts = work.table(texts_of(docs, ids), "open_texts")
+    few_links = _verified(close, texts)
     laid = (
-        many.join(sets, "rep")
+        many.join(texts.withColumnRenamed("doc_id", "rep"), "rep")
         .join(classes.select("rep", "bands"), "rep")
         .withColumn("other", F.explode(F.expr("sequence(0, chunks - 1)")))
-        .select("key", "band", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "rep", "component", "bands", "words")
+        .select("key", "band", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "rep", "component", "bands", "text")
     )
 
     def blocks(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -229,16 +219,16 @@ def near_duplicates(docs: DataFrame, work: Work | None = None) -> DataFrame:
     stars = members.where("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
     tested = work.table(stars, "stars")
     close = work.table(_alike(tested, classes), "star_close")
-    sets = work.table(_sets(docs, close.select(F.col("a").alias("rep")).union(close.select("b")).distinct()), "star_sets")
-    links = work.table(_verified(close, sets), "links")
+    texts = work.table(texts_of(docs, close.select(F.col("a").alias("doc_id")).union(close.select("b")).distinct()), "star_texts")
+    links = work.table(_verified(close, texts), "links")
     comp = work.table(components(links, work, "first"), "comp")
-    work.drop("star_close", "star_sets")
+    work.drop("star_close", "star_texts")
 
     more = work.table(_across(members, comp, tested, classes, docs, work), "more_links")
     if more.head(1):
         both = comp.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)
         comp = work.table(components(both, work, "second"), "comp2")
-    work.drop("members", "stars", "open", "close", "open_sets")
+    work.drop("members", "stars", "open", "close", "open_texts")
 
     named = classes.select("rep", "f1", "f2").join(comp, F.col("rep") == F.col("node"), "left")
     found = work.table(named.select("f1", "f2", F.coalesce("component", "rep").alias("component")), "found")
