@@ -3,7 +3,7 @@
 Features are the distinct words, word stems (their first four and five bytes),
 bigrams and one-word skip-grams of the whole text, hashed into 2**20 coordinates.
 FTRL-proximal (McMahan et al., 2013) keeps a learning rate for each coordinate and
-its L1 term leaves a few thousand weights, which are broadcast; the number of
+its L1 term leaves a few hundred weights, which are broadcast; the number of
 coordinates bounds them (12 MB).
 
 The model is fitted on at most TRAIN_ROWS labelled rows (those of the smallest hash),
@@ -27,8 +27,10 @@ from keylode.llm import textvec
 from keylode.llm.work import Work, read
 
 BITS = 20
-TRAIN_ROWS, EPOCHS = 12_000, 2
-ALPHA, BETA, L1, L2 = 0.15, 1.0, 1.5, 0.1
+TRAIN_ROWS = 12_000
+#: Passes over the rows: as many as make this number of updates, from 2 to 20.
+UPDATES = 24_000
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 4.0, 0.0
 STEMS = (4, 5)
 BIAS = 0  # this coordinate is in every text
 
@@ -79,7 +81,8 @@ class Ftrl:
 
 def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     model, kept = Ftrl(), list(batches)
-    for _ in range(EPOCHS):
+    rows = max(1, sum(b.num_rows for b in kept))
+    for _ in range(min(20, max(2, -(-UPDATES // rows)))):
         for batch in kept:
             for part in (batch.slice(i, 100) for i in range(0, batch.num_rows, 100)):
                 row, index = features(part.column(0))
@@ -108,8 +111,9 @@ def fit(docs: DataFrame, labels: DataFrame, work: Work | None = None) -> dict[st
     return {"coordinate": model["coordinate"].to_numpy(np.int64), "weight": model["weight"].to_numpy(float)}
 
 
-def score(docs: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
-    """docs with score and predicted appended."""
+def score(docs: DataFrame, model: dict[str, np.ndarray], names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """docs with a score and whether it is 0.5 or more (as int) appended under names,
+    which replace columns of docs that are called so."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,11 +130,11 @@ def score(docs: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
                 value = 1 / (1 + np.exp(-np.clip(total, -500, 500))) if coordinate.size else np.zeros(part.num_rows)
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns, pa.array(value), pa.array((value >= 0.5).astype(np.int32))],
-                    names=[*part.schema.names, "score", "predicted"],
+                    names=[*part.schema.names, *names],
                 )
 
-    own = [c for c in docs.columns if c not in ("score", "predicted")]
-    shape = docs.select(*own).schema.add("score", "double").add("predicted", "integer")
+    own = [c for c in docs.columns if c not in names]
+    shape = docs.select(*own).schema.add(names[0], "double").add(names[1], "integer")
     return docs.select(*own).mapInArrow(run, shape)
 
 
