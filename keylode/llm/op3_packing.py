@@ -5,9 +5,10 @@ own, what is left over is a remainder.  The histogram of remainder lengths (step
 16 tokens) of all documents is fitted by non-negative least squares with shallow
 length combinations that fill a window: repeats of one length, of two, and triples.
 The repeat counts, in proportion to a task's share of the documents and rounded down,
-are filled with the task's own remainders; residual remainders are packed greedily end
-to end, cut where a window is full, and carried on to the task's next lot.  Padding is
-the rounding to steps, and one open sequence for each task.
+are filled with the task's own remainders, the last place of each by the longest that
+fits; residual remainders are packed greedily end to end, cut where a window is full,
+and carried on to the task's next lot.  Padding is less than two steps a sequence, as a
+rule, and one open sequence for each task.
 
 Only the histogram (at most 257 rows) is gathered; no document is moved.  A lot holds
 at most LOT tokens, so memory is bounded.  Null counts as an empty text, whose one
@@ -143,14 +144,18 @@ class Packer:
                 bins[-(-(size % WINDOW) // STEP)].append(doc)
         share = sum(map(len, bins.values())) / self.total
         for pattern, count in self.patterns:
-            for _ in range(min([int(count * share), *(len(bins[i]) // copies for i, copies in pattern)])):
+            for _ in range(int(count * share)):
+                if any(len(bins[i]) < copies for i, copies in pattern):
+                    break
                 sequence, offset = self._new(), 0
-                for i, copies in pattern:
-                    for _ in range(copies):
-                        doc = bins[i].popleft()
-                        rest = sizes[doc] % WINDOW
-                        out.append((doc, sizes[doc] - rest, rest, sequence, offset))
-                        offset += rest
+                slots = [i for i, copies in sorted(pattern, reverse=True) for _ in range(copies)]
+                for slot, i in enumerate(slots):
+                    if slot and slot == len(slots) - 1:  # what the others' rounding left is used: the longest that fits
+                        i = next((j for j in range((WINDOW - offset) // STEP, i, -1) if bins[j]), i)
+                    doc = bins[i].popleft()
+                    rest = sizes[doc] % WINDOW
+                    out.append((doc, sizes[doc] - rest, rest, sequence, offset))
+                    offset += rest
         for i in sorted(bins, reverse=True):
             for doc in bins[i]:
                 at = sizes[doc] - sizes[doc] % WINDOW
