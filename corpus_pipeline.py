@@ -22,12 +22,18 @@ from keylode.llm.work import Work, read
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = op6_toxicity.fit(docs, read(spark, sf_dir, "labels"))
-    return op6_toxicity.score(docs, model).where("predicted = 0").select(*docs.columns)
+    names = "__keylode_score", "__keylode_predicted"
+    return op6_toxicity.score(docs, model, names).where(F.col(names[1]) == 0).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = op1_minhash.near_duplicates(docs)
-    return without_ids(docs, found.where(~F.col("kept")).select("doc_id").distinct())
+    kept = without_ids(docs, found.where(~F.col("kept")).select("doc_id").distinct())
+    repeated = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if not repeated.head(1):
+        return kept
+    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(repeated, "doc_id", "left_anti").unionByName(once)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ So no link that a band collision can show is lost, a bucket's pairs are never al
 emitted, and a group of copies costs as much as its members.
 
 Nulls count as empty texts.  Documents without words have no shingles, link with
-nothing and stay.  Repeated ids with the same text are one document; other columns
+nothing and stay.  Rows without an id get no verdict.  Repeated ids with the same text are one document; other columns
 are ignored, whatever their names.
 """
 
@@ -210,7 +210,7 @@ def near_duplicates(docs: DataFrame, work: Work | None = None) -> DataFrame:
     work = work or Work(docs.sparkSession, "minhash")
     docs = docs.select("doc_id", "text")
     signed = work.table(signatures(docs), "signed")
-    grouped = signed.where("n_shingles > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
+    grouped = signed.where("n_shingles > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")).where("rep is not null")
     classes = work.table(grouped, "classes")
 
     banded = classes.select("rep", F.posexplode("bands").alias("band", "key"))
