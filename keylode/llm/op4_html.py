@@ -80,6 +80,7 @@ class Page:
         self._parts: list[str] = []
         self._inline = ""
         self._link = False
+        self._html = html
         self._read(html)
         self._end()
 
@@ -101,7 +102,7 @@ class Page:
         self.blocks.append((text, self._path, self._set_apart()))
         self._parts = []
 
-    def _open(self, name: str, attributes: str) -> None:
+    def _open(self, name: str, attributes: str, at: int) -> None:
         if name in _BLOCK:
             self._end()
             self._inline = name
@@ -111,9 +112,14 @@ class Page:
         elif name == "br":
             self._parts.append(" ")
         self.items.append((f"<{name}>", 1, len(self.blocks)))
+        if name in ("article", "main") and self._set_apart():
+            first = next(i for i, s in enumerate(self._stack) if s[2])
+            if not re.compile(f"</{re.escape(self._stack[first][0])}", re.I).search(self._html, at):
+                del self._stack[first:]  # never closed: it ended before
         if name in _CONTAINER or name not in _VOID and attributes and _apart(name, attributes):
+            own = name == "header" and any(s[0] in ("article", "main") for s in self._stack)  # of the article, not of the page
             self.names.append(name)
-            self._stack.append((name, len(self.names) - 1, self._set_apart() or _apart(name, attributes)))
+            self._stack.append((name, len(self.names) - 1, self._set_apart() or not own and _apart(name, attributes)))
             self._path = tuple(s[1] for s in self._stack)
 
     def _close(self, name: str) -> None:
@@ -166,7 +172,7 @@ class Page:
                 stop = html.find(">", end) if end >= 0 else -1
                 at = n if stop < 0 else stop + 1
             else:
-                self._open(name, m[2])
+                self._open(name, m[2], at)
 
 
 def _labelled_pages(seed: int, n: int) -> Iterator[list[tuple[str, bool]]]:
@@ -222,6 +228,18 @@ def weights() -> dict[str, float]:
 UNKNOWN_TAG = -0.3
 
 
+def _articles(page: Page, first: int, last: int) -> list[tuple[int, ...]]:
+    """The paths of the region's blocks that lie in an article or main element, if
+    those hold a third of its text or more."""
+    size, found = [0, 0], []
+    for text, path, apart in page.blocks[first : last + 1]:
+        if text and not apart:
+            own = any(page.names[c] in ("article", "main") for c in path)
+            size[own] += len(text)
+            found += [path] * own
+    return found if 2 * size[1] >= size[0] else []
+
+
 def main_text(html: str, score: dict[str, float]) -> str:
     page = Page(html)
     best, region, total, start = 0.0, None, 0.0, 0
@@ -237,6 +255,7 @@ def main_text(html: str, score: dict[str, float]) -> str:
     inside = [b[1] for b in page.blocks[first : last + 1] if b[0] and not b[2]]
     if not inside:
         return ""
+    inside = _articles(page, first, last) or inside
     common = inside[0]
     for path in inside:
         k = 0
