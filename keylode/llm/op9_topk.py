@@ -145,7 +145,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
         for best in held.values():
             yield best.rows()
 
-    pairs = docs.join(asked.hint("shuffle_hash"), ["dim", "salt"]).select("dim", "ids", "weights", "query_ids", "query_weights")
+    pairs = docs.join(asked, ["dim", "salt"]).select("dim", "ids", "weights", "query_ids", "query_weights")
     found = pairs.mapInArrow(run, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
