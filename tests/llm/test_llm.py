@@ -266,6 +266,31 @@ def test_op7(spark, docs, corpus):
     assert kept[lines[0]]["n_chars"] == len(corpus[lines[0]][1])
 
 
+def spans_of(a, b):
+    sides = []
+    for text in (a, b):
+        h, first, _, _ = textvec.words(pa.array([text]))
+        sides.append(next(textvec.shingles(h, first)))
+    return op7_substring._runs(*sides)
+
+
+def test_op7_phrase_at_other_places():
+    r = random.Random(11)
+    passage = prose(r, 60, 10**6).split()
+    teaser, line = " ".join(passage[27:34]), prose(r, 9, 10**6)
+    y = f"{prose(r, 20, 10**6)} {' '.join(passage)} {prose(r, 20, 10**6)}"
+    x = f"{prose(r, 30, 10**6)} {teaser} {prose(r, 90, 10**6)} {' '.join(passage)} {prose(r, 30, 10**6)}"
+    assert any(s <= 20 and e >= 80 for s, e, _, _ in spans_of(x, y))
+    first, mid, last = prose(r, 40, 10**6), prose(r, 30, 10**6), prose(r, 40, 10**6)
+    y, x = f"{first} {mid} {last}", f"{first} {mid} {line} {mid} {last}"
+    spans = spans_of(x, y)
+    for at in range(60):  # windows of 51 words: each lies in x as a whole
+        if at + 51 <= 70 or at >= 40:
+            assert any(s <= at and at + 51 <= e for s, e, _, _ in spans)
+    repeated = " ".join([line, prose(r, 3)] * 12)
+    assert spans_of(f"{prose(r, 10)} {repeated}", f"{prose(r, 25)} {repeated}")
+
+
 @pytest.fixture(scope="module")
 def vectors():
     r = np.random.default_rng(8)
