@@ -291,6 +291,19 @@ def test_op7_phrase_at_other_places():
     assert spans_of(f"{prose(r, 10)} {repeated}", f"{prose(r, 25)} {repeated}")
 
 
+def test_op7_recall_of_bands(spark):
+    r, trials, missed = np.random.default_rng(3), 4000, 0
+    for _ in range(trials):
+        x = r.integers(0, 2**63, 46).astype(np.uint64)
+        y = np.concatenate([x[:40], r.integers(0, 2**63, 6).astype(np.uint64)])  # Jaccard 40 / 52
+        equal = sum(int(op7_substring._minima(x, 11 + b)[0] == op7_substring._minima(y, 11 + b)[0]) for b in range(op7_substring.BANDS))
+        missed += equal < op7_substring.LEAST_BANDS
+    assert missed <= trials // 200
+    rows = spark.createDataFrame([(1, prose(random.Random(1), 50, 10**6))], "doc_id long, text string")
+    keys = [k["key"] & (op7_substring.BANDS - 1) for k in op7_substring.paragraph_keys(rows).collect()]
+    assert sorted(keys) == list(range(op7_substring.BANDS))
+
+
 @pytest.fixture(scope="module")
 def vectors():
     r = np.random.default_rng(8)
