@@ -291,6 +291,13 @@ def test_op7_phrase_at_other_places():
     assert spans_of(f"{prose(r, 10)} {repeated}", f"{prose(r, 25)} {repeated}")
 
 
+def test_op7_one_place_is_enough():
+    p = prose(random.Random(2), 70, 10**6)
+    gap = prose(random.Random(3), 40, 10**6)
+    assert len(spans_of(f"{p} {gap} {p} {gap[::-1]} {p}", p + " " + gap[::-1].upper())) == 1
+    assert len(spans_of(f"{gap} {p} {gap[::-1]} {p}", f"zz {p} zz")) == 1
+
+
 def test_op7_recall_of_bands(spark):
     r, trials, missed = np.random.default_rng(3), 4000, 0
     for _ in range(trials):
