@@ -4,23 +4,25 @@ A document is its tokens and the end id; whole windows of 4096 are sequences of
 own, what is left over is a remainder.  The histogram of remainder lengths (steps of
 16 tokens) of all documents is fitted by non-negative least squares with shallow
 length combinations that fill a window: repeats of one length, of two, and triples.
-The repeat counts, in proportion to a task's share of the documents and rounded down,
-are filled with the task's own remainders, the last place of each by the longest that
-fits; residual remainders are packed greedily end to end, cut where a window is full,
-and carried on to the task's next lot.  Padding is less than two steps a sequence, as a
-rule, and one open sequence for each task.
-
-Only the histogram (at most 257 rows) is gathered; no document is moved.  A lot holds
-at most LOT tokens, so memory is bounded.  Null counts as an empty text, whose one
-token is the end id.  Repeated rows are packed as often as they come; other columns
-have no influence.  Token ids are kept in a table of the shared folder between the two
-passes.
+The repeat counts, in proportion to a task's share of the documents and rounded so that
+the tasks' counts come to the whole, are filled with the task's own remainders, the last
+place of each by the longest that fits; residual remainders are packed greedily end to
+end, cut where a window is full, and carried on to the task's next lot.  The sequence
+that a task leaves open is put together with those of other tasks, longest first into
+the fullest window that has room, so padding doesn't grow with the number of tasks.
+
+Only the histogram (at most 257 rows) and the sizes of the open sequences (one for each
+task) are gathered; no document is moved.  A lot holds at most LOT tokens, so memory is
+bounded.  Null counts as an empty text, whose one token is the end id.  Repeated rows
+are packed as often as they come; an empty table has no pieces; other columns have no
+influence, whatever their names.  Token ids are kept in a table of the shared folder
+between the two passes, and so are the pieces until open sequences are put together.
 """
 
 from __future__ import annotations
 
-import os
 import zlib
+from bisect import bisect_left, insort
 from collections import defaultdict, deque
 from collections.abc import Iterator
 from functools import cache
@@ -31,36 +33,36 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keylode.llm.chunks import Table, without_space
-from keylode.llm.op10_bpe import together
+from keylode.llm import textvec
+from keylode.llm.chunks import Words
 from keylode.llm.work import Work, read
 
 WINDOW, STEP, END = 4096, 16, 2
 BINS = WINDOW // STEP
 #: Tokens that a task packs at a time.
 LOT = 12_000_000
+#: In the numbers of sequences that residuals are put in.
+RESIDUAL = 1 << 35
 Pattern = tuple[tuple[int, int], ...]  # (bin, copies), ...
 
 
 @cache
-def _table(path: str) -> Table:
-    from tokenizers import Tokenizer
-
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    model = Tokenizer.from_file(path)
-    return Table(lambda chunks: [np.array(e.ids, "<u4").tobytes() for e in model.encode_batch_fast(chunks, add_special_tokens=False)])
+def _words(path: str) -> Words:
+    """One table for each worker."""
+    return Words(path)
 
 
 def tokens(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, doc_tokens, ids (little-endian 16-bit where all fit, else 32-bit)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _table(path)
+        words = _words(path)
         for batch in batches:
-            for first, texts in together(batch.column(1)):
-                ids = [np.append(np.frombuffer(x, "<u4"), np.uint32(END)) for x in table([without_space(t) for t in texts])]
-                packed = [x.astype("<u2" if x.max() < 1 << 16 else "<u4").tobytes() for x in ids]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array([x.size for x in ids], pa.int64()), pa.array(packed, pa.binary())], names=["doc_id", "doc_tokens", "ids"])
+            for first, sizes, ids in words(batch.column(1), END):
+                wide = "<u2" if ids.max() < 1 << 16 else "<u4"
+                stops = np.concatenate([[0], np.cumsum(sizes)]) * np.dtype(wide).itemsize
+                packed = pa.Array.from_buffers(pa.binary(), sizes.size, [None, pa.py_buffer(stops.astype(np.int32)), pa.py_buffer(ids.astype(wide))])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, sizes.size), pa.array(sizes, pa.int64()), packed], names=["doc_id", "doc_tokens", "ids"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, doc_tokens long, ids binary")
@@ -128,10 +130,12 @@ class Packer:
         self.next = task << 36
         self.open: int | None = None  # the sequence that residuals are put in
         self.filled = 0
+        # what is owed of each count: a start within [0, 1) that differs between tasks makes up for rounding
+        self.owed = (textvec.stream(task, len(patterns)) >> np.uint64(11)) / 2.0**53
 
-    def _new(self) -> int:
+    def _new(self, residual: bool = False) -> int:
         self.next += 1
-        return self.next - 1
+        return self.next - 1 + RESIDUAL * residual
 
     def lot(self, sizes: list[int]) -> list[tuple[int, int, int, int, int]]:
         """(document, start, length, sequence, offset) for documents of these sizes."""
@@ -143,8 +147,11 @@ class Packer:
             if size % WINDOW:
                 bins[-(-(size % WINDOW) // STEP)].append(doc)
         share = sum(map(len, bins.values())) / self.total
-        for pattern, count in self.patterns:
-            for _ in range(int(count * share)):
+        for k, (pattern, count) in enumerate(self.patterns):
+            self.owed[k] += count * share
+            due = int(self.owed[k])
+            self.owed[k] -= due
+            for _ in range(due):
                 if any(len(bins[i]) < copies for i, copies in pattern):
                     break
                 sequence, offset = self._new(), 0
@@ -161,7 +168,7 @@ class Packer:
                 at = sizes[doc] - sizes[doc] % WINDOW
                 while at < sizes[doc]:
                     if self.open is None:
-                        self.open, self.filled = self._new(), 0
+                        self.open, self.filled = self._new(True), 0
                     size = min(sizes[doc] - at, WINDOW - self.filled)
                     out.append((doc, at, size, self.open, self.filled))
                     at += size
@@ -226,9 +233,37 @@ def pack(encoded: DataFrame, with_ids: bool = False) -> DataFrame:
     return encoded.select("doc_id", "doc_tokens", "ids").mapInArrow(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids binary" * with_ids)
 
 
+def joined(sizes: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+    """Open sequences (number, tokens) put together: number, the sequence that takes
+    it in, and its offset there.  Longest first, each into the fullest window that has
+    room."""
+    room: list[tuple[int, int]] = []  # of each window, with its sequence
+    out = []
+    for number, size in sorted(sizes, key=lambda s: (-s[1], s[0])):
+        k = bisect_left(room, (size, -1))
+        free, into = room.pop(k) if k < len(room) else (WINDOW, number)
+        out.append((number, into, WINDOW - free))
+        insort(room, (free - size, into))
+    return out
+
+
+def together(pieces: DataFrame) -> DataFrame:
+    """Pieces with the tasks' open sequences (one for each) put together."""
+    spark = pieces.sparkSession
+    open_ = pieces.where(F.col("sequence_id").bitwiseAND(RESIDUAL) > 0).groupBy("sequence_id").agg(F.sum("length").alias("size")).where(F.col("size") < WINDOW)
+    moves = [m for m in joined([(r[0], r[1]) for r in open_.collect()]) if m[0] != m[1]]
+    if not moves:
+        return pieces
+    moved = F.broadcast(spark.createDataFrame(moves, "sequence_id long, into long, by long"))
+    place = {"sequence_id": F.coalesce("into", "sequence_id"), "offset": F.col("offset") + F.coalesce("by", F.lit(0))}
+    return pieces.join(moved, "sequence_id", "left").withColumns(place).select(*pieces.columns)
+
+
 def packed(docs: DataFrame, path: str, work: Work | None = None, with_ids: bool = False) -> DataFrame:
     work = work or Work(docs.sparkSession, "packing")
-    return pack(work.table(tokens(docs, path), "tokens"), with_ids)
+    pieces = work.table(pack(work.table(tokens(docs, path), "tokens"), with_ids), "pieces")
+    work.drop("tokens")
+    return together(pieces)
 
 
 def tokenizer_path() -> str:

@@ -182,6 +182,34 @@ def test_op3_plan():
     assert (x >= 0).all() and (g < 1e-6).all() and np.abs(g[x > 0]).max() < 1e-5
 
 
+def test_op3_words_as_the_tokenizer_has_them(monkeypatch):
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_file(op3_packing.tokenizer_path())
+    r = random.Random(12)
+    letters = [*"aAbBeéßÉ ñ.,!?'sdt019  \n\t\r\x0b\x1c\x1d\x85\xa0 日本語́🙂‍Σς#½Ⅷ٣<|>×÷", "'s", "<|endoftext|>", " the"]
+    texts = ["".join(r.choice(letters) for _ in range(r.randint(0, 60))) for _ in range(3000)]
+    texts += ["dogs' a", "don't. X's! a<|ENDOFTEXT|>b", "é́ éÉ .K K ıİ ß.ẞ ×÷ a×. ", "\x1c a\x1d b", None, "", "Σας ΣΑΣ. a①.", "x. " * 5000]
+    want = [[*model.encode(t or "", add_special_tokens=False).ids, 2] for t in texts]
+    for size, most in ((1 << 24, 10**6), (700, 50)):  # tables that fill up, slices of a few texts
+        monkeypatch.setattr(chunks, "SLICE", size)
+        found = chunks.Words(op3_packing.tokenizer_path(), most)(pa.array(texts), 2)
+        assert [x.tolist() for _, sizes, ids in found for x in np.split(ids, np.cumsum(sizes)[:-1])] == want
+
+
+@pytest.mark.parametrize("parts", [1, 40])
+def test_op3_padding_does_not_grow_with_tasks(spark, parts):
+    r = random.Random(13)
+    rows = [(i, n, bytes(2 * n)) for i, n in enumerate(1 + int(r.lognormvariate(6, 1)) for _ in range(1500))]
+    encoded = spark.createDataFrame(rows, "doc_id long, doc_tokens long, ids binary").repartition(parts)
+    pieces = op3_packing.together(Work(spark, "t").table(op3_packing.pack(encoded), "pieces")).toPandas()
+    used = pieces.groupby("sequence_id")["length"].sum()
+    total = sum(n for _, n, _ in rows)
+    assert used.sum() == total and used.max() <= 4096 and 1 - total / (4096 * len(used)) < 0.02
+    for _, own in pieces.sort_values("offset").groupby("sequence_id"):
+        assert own["offset"].tolist() == [0, *own["length"].cumsum().tolist()[:-1]]
+
+
 def test_op4():
     score = op4_html.weights()
     for parts in op4_html._labelled_pages(99, 200):
