@@ -103,7 +103,7 @@ def gathered(flat: np.ndarray, start: np.ndarray, size: np.ndarray, which: np.nd
 
 
 #: Bytes of the texts whose words are numbered together.
-SLICE = 1 << 24
+SLICE = 1 << 23
 
 
 class Words:
@@ -114,7 +114,7 @@ class Words:
     are kept as their lower-case core and the marks after it, and cores of letters
     alone (one piece each) are encoded many at a time."""
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 800_000):
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")

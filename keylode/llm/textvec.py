@@ -48,6 +48,17 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return offsets, np.frombuffer(data, dtype=np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
 
 
+def parts(batch: pa.RecordBatch, column: str, rows: int, size: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of at most `rows` rows and about `size` bytes of text, one row
+    at least."""
+    offsets, first = buffers(batch.column(column))[0], 0
+    while first < batch.num_rows:
+        to = int(np.searchsorted(offsets, offsets[first] + size, side="right")) - 1
+        to = min(batch.num_rows, first + rows, max(first + 1, to))
+        yield batch.slice(first, to - first)
+        first = to
+
+
 def _hash_slice(raw: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends and hashes of the words of a slice; no word crosses a break."""
     if not raw.size:
@@ -126,7 +137,6 @@ def shingles(hashes: np.ndarray, first: np.ndarray, k: int = 5) -> Iterator[np.n
         if b - a >= k:
             yield body[a : b - k + 1]
         elif b > a:
-            short = (hashes[a:b] * keys[: b - a]).sum(dtype=_U) + keys[k] * _U(b - a)
-            yield mix(np.array([short], _U))
+            yield mix((hashes[a:b] * keys[: b - a]).sum(dtype=_U, keepdims=True) + keys[k : k + 1] * _U(b - a))
         else:
             yield body[:0]
