@@ -2,8 +2,10 @@
 
 Kiveris et al., "Connected Components in MapReduce and Beyond" (2014).  Both steps
 are written as a minimum per node (aggregated before the shuffle) and a join, so no
-node's neighbours are gathered in one row.  Every round is written to the shared
-folder, which cuts the lineage.
+node's neighbours are gathered in one row.  The minima of nodes with more than a
+HOT-th of all edges (2 * HOT at most) are broadcast, so their edges stay where they
+are; other nodes' edges are shuffled.  Every round is written to the shared folder,
+which cuts the lineage.
 """
 
 from __future__ import annotations
@@ -14,16 +16,28 @@ from pyspark.sql import functions as F
 from keylode.llm.work import Work
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+#: A node with more than this part of all edges isn't shuffled.
+HOT = 1000
+
+
+def _joined(edges: DataFrame, total: int) -> DataFrame:
+    """edges (u, v) with m, the least v of each u."""
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    hot = F.broadcast(least.where(F.col("n") > max(1, total // HOT)).drop("n"))
+    cold = least.where(F.col("n") <= max(1, total // HOT)).drop("n")
+    return edges.join(hot, "u").union(edges.join(hot.select("u"), "u", "left_anti").join(cold, "u"))
+
+
+def _large_star(edges: DataFrame, total: int) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    near = _joined(both, 2 * total).where("v > u")
+    return near.select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.union(least).distinct()
+def _small_star(edges: DataFrame, total: int) -> DataFrame:
+    near = _joined(edges, total)
+    moved = near.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return moved.union(near.where("v = m").select("u", "v")).distinct()
 
 
 def components(edges: DataFrame, work: Work, name: str = "components", rounds: int = 60) -> DataFrame:
@@ -37,8 +51,9 @@ def components(edges: DataFrame, work: Work, name: str = "components", rounds: i
         if state == before or state[0] == 0:
             break
         before = state
-        after = work.table(_small_star(_large_star(now)), f"{name}-{i}")
-        work.drop(f"{name}-{i - 1}")
+        large = work.table(_large_star(now, state[0]), f"{name}-{i}-large")
+        after = work.table(_small_star(large, state[0]), f"{name}-{i}")
+        work.drop(f"{name}-{i - 1}", f"{name}-{i}-large")
         now = after
     else:
         raise RuntimeError("components did not settle")
