@@ -1,18 +1,27 @@
 """Main text of web pages as a maximum-scoring subsequence.
 
 A page becomes a sequence of scored items: words by where they stand (paragraph,
-heading, link, bare, set-apart element) and tags by name.  The scores are log-odds
-counted on labelled pages, built below from page parts that are known to be content
-or not.  A linear scan finds the contiguous region of the greatest sum; it is widened
-to the whole of the innermost container that holds it, so short first and last
-paragraphs count, and elements set apart inside it (menus, asides, forms, comments,
-adverts) are left out.
+heading, link, bare, inside an element of a doubtful name) and tags by name.  The scores
+are log-odds counted on labelled pages, built below from page parts that are known to be
+content or not.  A linear scan finds the contiguous region of the greatest sum; it is
+widened to the whole of the innermost container that holds it, so short first and last
+paragraphs count.
+
+Set apart are elements that HTML has for it (menus, asides, forms, hidden ones, ...) and
+block elements with a class, role or (containers only) id that as a whole names such a
+part, like "ad" or "cookie-notice"; they take no part in the sum and are left out.  Names
+that only may mean such a part, like "notice" or "related", lower the score of the words
+within; the element is left out unless what it holds sums up to more than the labelled
+pages' adverts and notices come to.
+Names that merely hold such a word ("has-sidebar", "legal-analysis") mean nothing, and
+no inline element ends a block.
 
 Character references are decoded; white space inside a block becomes one space; blocks
 are trimmed and joined by a line feed.  Nothing is cut by length.  Null html, and
 pages without a region of positive score, give an empty text.  The scan reads each
-page once; unclosed tags end with their container.  Rows are independent: repeats and
-other columns have no influence.
+page once, in memory that grows with its tags and text; unclosed tags end with their
+container.  Rows are independent: repeats and other columns have no influence; an empty
+table gives an empty one.
 """
 
 from __future__ import annotations
@@ -20,8 +29,8 @@ from __future__ import annotations
 import random
 import re
 from collections import Counter
-from collections.abc import Iterator
-from functools import cache
+from collections.abc import Iterable, Iterator
+from functools import cache, lru_cache
 from html import unescape
 from math import log
 
@@ -35,92 +44,143 @@ _ATTRIBUTE = re.compile(r"""(?:^|[\s/"'])(class|id|role|hidden|aria-hidden|style
 
 # HTML element names by role.
 _RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "template", "xmp"}
-_APART = {"nav", "aside", "footer", "header", "form", "button", "select", "dialog", "menu", "svg", "object", "head", "datalist", "fieldset"}
+_APART = {"nav", "aside", "footer", "header", "form", "dialog", "menu", "head", "fieldset"}
+_APART_INLINE = {"button", "select", "svg", "object", "datalist"}
 _CONTAINER = {"html", "body", "article", "main", "section", "div", "td", "th", "table", "tr", "tbody", "thead", "tfoot", "ul", "ol", "dl", "blockquote", "figure", "center"} | _APART
 _BLOCK = _CONTAINER | {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "pre", "hr", "address", "figcaption", "caption", "details", "summary", "option", "label", "legend", "hgroup"}
 _HEADING = {"h1", "h2", "h3", "h4", "h5", "h6"}
 _PARAGRAPH = {"p", "li", "td", "th", "dd", "dt", "pre", "blockquote", "figcaption"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-# Words of class, id and role that name parts beside the article.
+#: Words that, as a whole class, id or role, name a part beside the article.  This list
+#: and the next two are choices of this module.
 _BESIDE = {
-    "ad", "ads", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "promotion", "banner",
-    "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "sidebar", "side", "aside", "complementary",
-    "header", "masthead", "footer", "contentinfo", "copyright", "legal", "cookie", "cookies", "consent", "notice", "alert", "gdpr", "popup", "modal", "overlay",
-    "comment", "comments", "reply", "replies", "respond", "disqus", "discussion", "share", "sharing", "social", "related", "recommended", "newsletter", "subscribe", "subscription", "signup", "login", "search", "widget", "pagination", "pager", "skip", "toolbar",
+    "ad", "ads", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "promotion",
+    "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "sidebar", "aside", "complementary",
+    "masthead", "footer", "contentinfo", "cookie", "cookies", "consent", "gdpr", "popup", "modal", "overlay",
+    "comment", "comments", "reply", "replies", "respond", "disqus", "share", "sharing", "newsletter", "subscribe", "signup", "login", "pagination", "pager", "toolbar",
 }
-_BESIDE_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
-
-
-def _apart(name: str, attributes: str) -> bool:
-    if name in _APART:
-        return True
+#: Words that may name such a part, or a part of an article.
+_DOUBTFUL = {"header", "banner", "side", "copyright", "legal", "notice", "alert", "discussion", "social", "related", "recommended", "subscription", "search", "widget", "skip"}
+#: Words that go with either and mean nothing by themselves.
+_NEUTRAL = {"site", "page", "top", "bottom", "left", "right", "global", "primary", "secondary", "container", "wrapper", "wrap", "box", "area", "section", "list", "bar", "unit", "slot", "block", "item", "links", "form"}
+_NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
+CLEAR, HINT, APART = 0, 1, 2
+
+
+@lru_cache(maxsize=1 << 14)
+def _meaning(name: str) -> int:
+    """What a class, role or id means: nothing, maybe a part beside the article, or one."""
+    parts = {w.lower() for w in _NAME_PART.findall(name)} - _NEUTRAL
+    if not parts or not parts <= _BESIDE | _DOUBTFUL:
+        return CLEAR
+    return APART if parts & _BESIDE else HINT
+
+
+def _standing(name: str, attributes: str) -> int:
+    if name in _APART or name in _APART_INLINE:
+        return APART
     if not attributes or name in ("html", "body", "article", "main"):
-        return False
+        return CLEAR
+    found = CLEAR
     for m in _ATTRIBUTE.finditer(attributes):
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true":
-            return True
+            return APART
         if key == "style":
             if re.search(r"display\s*:\s*none", value, re.I):
-                return True
-        elif any(w.lower() in _BESIDE for w in _BESIDE_PART.findall(value)):
-            return True
-    return False
+                return APART
+        elif name in _BLOCK and name not in _HEADING and (key != "id" or name in _CONTAINER):
+            found = max([found, *map(_meaning, value.split())])
+    return found
 
 
 class Page:
-    """items: (kind, count, block) in page order; blocks: (text, container path, apart)."""
+    """items: (kind, count, block, doubtful element or -1) in page order; blocks: (text,
+    container, apart, doubtful element); containers by number, in the order of opening:
+    their name, parent, the number after the last one within, whether within an article."""
 
     def __init__(self, html: str):
-        self.items: list[tuple[str, int, int]] = []
-        self.blocks: list[tuple[str, tuple[int, ...], bool]] = []
-        self.names: list[str] = [""]
-        self._stack: list[tuple[str, int, bool]] = []
-        self._path: tuple[int, ...] = ()
+        self.items: list[tuple[str, int, int, int]] = []
+        self.blocks: list[tuple[str, int, bool, int]] = []
+        self.names, self.parent, self.after, self.article = ["", ], [-1], [0], [False]
+        self.hints = 0
+        # name, container (-1: inline), set apart, doubtful element
+        self._stack: list[tuple[str, int, bool, int]] = [("", 0, False, -1)]
+        self._count: Counter[str] = Counter()
         self._parts: list[str] = []
         self._inline = ""
         self._link = False
+        self._hidden = 0  # inline elements set apart that are open
         self._html = html
         self._read(html)
         self._end()
-
-    def _set_apart(self) -> bool:
-        return bool(self._stack) and self._stack[-1][2]
+        self._shut(0)
 
     def _text(self, raw: str) -> None:
+        if self._hidden:
+            return
         if not raw or raw.isspace():
             if raw and self._parts:
                 self._parts.append(" ")
             return
         text = unescape(raw) if "&" in raw else raw
         self._parts.append(text)
-        kind = "apart" if self._set_apart() else "link" if self._link else "heading" if self._inline in _HEADING else "paragraph" if self._inline in _PARAGRAPH else "bare"
-        self.items.append((kind, len(text.split()), len(self.blocks)))
+        _, _, apart, hint = self._stack[-1]
+        kind = "apart" if apart else "link" if self._link else "heading" if self._inline in _HEADING else "paragraph" if self._inline in _PARAGRAPH else "bare"
+        if hint >= 0 and not apart:
+            kind = f"doubtful {kind}"
+        self.items.append((kind, len(text.split()), len(self.blocks), hint))
 
     def _end(self) -> None:
-        text = " ".join("".join(self._parts).split())
-        self.blocks.append((text, self._path, self._set_apart()))
-        self._parts = []
+        if self._parts:
+            if text := " ".join("".join(self._parts).split()):
+                _, container, apart, hint = self._stack[-1]
+                self.blocks.append((text, container, apart, hint))
+            self._parts = []
+
+    def _shut(self, size: int) -> None:
+        """Close what is open beyond this depth."""
+        for name, container, _, _ in self._stack[size:]:
+            self._count[name] -= 1
+            if container < 0:
+                self._hidden -= 1
+            else:
+                self.after[container] = len(self.names)
+        del self._stack[size:]
 
     def _open(self, name: str, attributes: str, at: int) -> None:
         if name in _BLOCK:
+            self._shut(next(i for i in range(len(self._stack), 0, -1) if self._stack[i - 1][1] >= 0))  # inline ones end here
             self._end()
-            self._inline = name
-            self._link = False
+            self._inline, self._link = name, False
         if name == "a":
             self._link = True
         elif name == "br":
             self._parts.append(" ")
-        self.items.append((f"<{name}>", 1, len(self.blocks)))
-        if name in ("article", "main") and self._set_apart():
+        if name in ("article", "main") and self._stack[-1][2]:
             first = next(i for i, s in enumerate(self._stack) if s[2])
             if not re.compile(f"</{re.escape(self._stack[first][0])}", re.I).search(self._html, at):
-                del self._stack[first:]  # never closed: it ended before
-        if name in _CONTAINER or name not in _VOID and attributes and _apart(name, attributes):
-            own = name == "header" and any(s[0] in ("article", "main") for s in self._stack)  # of the article, not of the page
+                self._shut(first)  # never closed: it ended before
+        _, container, apart, hint = self._stack[-1]
+        self.items.append(("apart" if apart or self._hidden else f"<{name}>", 1, len(self.blocks), hint))
+        standing = _standing(name, attributes) if attributes or name in _APART or name in _APART_INLINE else CLEAR
+        if name in _BLOCK and (name in _CONTAINER or standing):
+            within = next(s[1] for s in reversed(self._stack) if s[1] >= 0)
+            own = name == "header" and self.article[within]  # of the article, not of the page
+            if standing == HINT and hint < 0 and not apart:
+                hint, self.hints = self.hints, self.hints + 1
             self.names.append(name)
-            self._stack.append((name, len(self.names) - 1, self._set_apart() or not own and _apart(name, attributes)))
-            self._path = tuple(s[1] for s in self._stack)
+            self.parent.append(within)
+            self.after.append(0)
+            self.article.append(self.article[within] or name in ("article", "main"))
+            self._push(name, len(self.names) - 1, apart or standing == APART and not own, hint)
+        elif standing == APART and name not in _VOID:
+            self._hidden += 1
+            self._push(name, -1, True, hint)
+
+    def _push(self, name: str, container: int, apart: bool, hint: int) -> None:
+        self._count[name] += 1
+        self._stack.append((name, container, apart, hint))
 
     def _close(self, name: str) -> None:
         if name in _BLOCK:
@@ -128,15 +188,15 @@ class Page:
             self._inline, self._link = "", False
         if name == "a":
             self._link = False
-        self.items.append((f"<{name}>", 1, len(self.blocks)))
-        for i in range(len(self._stack) - 1, -1, -1):
-            if self._stack[i][0] == name:
-                self._parts and self._end()
-                del self._stack[i:]
-                self._path = tuple(s[1] for s in self._stack)
-                break
-            if self._stack[i][0] in ("td", "th", "table") and name not in ("table", "tr", "tbody", "html", "body"):
-                break
+        _, _, apart, hint = self._stack[-1]
+        self.items.append(("apart" if apart or self._hidden else f"<{name}>", 1, len(self.blocks), hint))
+        if self._count[name]:
+            for i in range(len(self._stack) - 1, 0, -1):
+                if self._stack[i][0] == name:
+                    self._shut(i)
+                    break
+                if self._stack[i][0] in ("td", "th", "table") and name not in ("table", "tr", "tbody", "html", "body"):
+                    break
 
     def _read(self, html: str) -> None:
         at, n, low = 0, len(html), None
@@ -181,6 +241,7 @@ def _labelled_pages(seed: int, n: int) -> Iterator[list[tuple[str, bool]]]:
     word = lambda: "".join(r.choice(("an", "the", "er", "on", "re", "is", "en", "at", "lo", "mi", "ka", "ti")) for _ in range(r.randint(1, 4)))
     say = lambda a, b: " ".join(word() for _ in range(r.randint(a, b)))
     links = lambda a, b: "".join(f'<li><a href="/{word()}">{say(1, 3)}</a></li>' for _ in range(r.randint(a, b)))
+    doubtful = sorted(_DOUBTFUL)
     for _ in range(n):
         head = [("<!DOCTYPE html><html><head><meta charset='utf-8'><title>" + say(3, 9) + "</title><style>p{}</style><script>var a = 1;</script></head><body>", False)]
         before = [
@@ -190,6 +251,7 @@ def _labelled_pages(seed: int, n: int) -> Iterator[list[tuple[str, bool]]]:
             ("<div id='cookie-notice'><p>" + say(8, 20) + "</p><button>" + word() + "</button></div>", False),
             ("<form action='/s'><input name=q><button>" + word() + "</button></form>", False),
             ("<div>" + "".join(f"<a href='/{word()}'>{word()}</a> | " for _ in range(r.randint(3, 8))) + "</div>", False),
+            (f"<div class='{r.choice(doubtful)}'><p>{say(3, 10)}</p></div>", False),
         ]
         after = [
             ("<aside><h3>" + say(1, 3) + "</h3><ul>" + links(3, 8) + "</ul></aside>", False),
@@ -197,6 +259,7 @@ def _labelled_pages(seed: int, n: int) -> Iterator[list[tuple[str, bool]]]:
             ("<div class='comments'><h3>" + say(1, 2) + "</h3>" + "".join(f"<div class='comment'><p>{say(4, 25)}</p></div>" for _ in range(r.randint(1, 4))) + "</div>", False),
             ("<footer>&copy; " + say(4, 20) + " <a href='/'>" + word() + "</a></footer>", False),
             ("<ul>" + links(3, 8) + "</ul>", False),
+            (f"<div class='{r.choice(doubtful)}'>{say(1, 4)}<ul>{links(3, 8)}</ul></div>", False),
         ]
         wrap = r.choice((("<article>", "</article>"), ("<main>", "</main>"), ("<div class='content'>", "</div>"), ("<div>", "</div>"), ("<section>", "</section>")))
         body = [(wrap[0], True)]
@@ -204,76 +267,104 @@ def _labelled_pages(seed: int, n: int) -> Iterator[list[tuple[str, bool]]]:
             body.append((f"<h1>{say(3, 10)}</h1>", True))
         for _ in range(r.randint(1, 12)):
             body.append((r.choice(("<p>{}</p>", "<p>{}</p>", "<p>{}</p>", "<p><b>{}<br>", "<h2>{}</h2>", "<ul><li>{}</li></ul>", "<blockquote>{}</blockquote>", "<p><a href='/x'>" + word() + "</a> {}</p>")).format(say(1, 60)), True))
+        if r.random() < 0.2:
+            body.append((f"<section class='{r.choice(doubtful)}'><p>{say(30, 60)}</p><p>{say(30, 60)}</p></section>", True))
         body.append((wrap[1], True))
         yield [*head, *r.sample(before, r.randint(1, 4)), *body, *r.sample(after, r.randint(1, 4)), ("</body></html>", False)]
 
 
+#: Of a tag that no labelled page has.
+UNKNOWN_TAG = -0.3
+#: The key of the sum that a doubtful element must pass to stay.
+DOUBTFUL = "doubtful"
+
+
 @cache
 def weights() -> dict[str, float]:
-    """Log-odds of content for each kind of item, tags lowered by a constant."""
+    """Log-odds of content for each kind of item, tags lowered by a constant, and the sum
+    that parts doubtful elements of the labelled pages best."""
     counts = {True: Counter(), False: Counter()}
+    doubtful: list[tuple[Page, bool]] = []
     for parts in _labelled_pages(17, 400):
         for html, label in parts:
-            for kind, n, _ in Page(html).items:
+            page = Page(html)
+            doubtful += [(page, label)] * bool(page.hints)
+            for kind, n, _, _ in page.items:
                 counts[label][kind] += n
     total = {k: sum(c.values()) for k, c in counts.items()}
     out = {}
     for kind in {*counts[True], *counts[False]}:
         odds = log((counts[True][kind] + 0.5) / total[True]) - log((counts[False][kind] + 0.5) / total[False])
         out[kind] = max(-4.0, min(2.0, odds)) if kind[0] != "<" else min(-0.05, max(-4.0, odds - 1.0))
-    return out
-
-
-#: Of a tag that no labelled page has.
-UNKNOWN_TAG = -0.3
+    sums = sorted((t, label) for page, label in doubtful for t in _doubtful_sums(page, out))
+    wrong = [sum(label for _, label in sums[:k]) + sum(not label for _, label in sums[k:]) for k in range(1, len(sums))]
+    k = wrong.index(min(wrong)) + 1
+    return out | {DOUBTFUL: (sums[k - 1][0] + sums[k][0]) / 2}
 
 
-def _articles(page: Page, first: int, last: int) -> list[tuple[int, ...]]:
-    """The paths of the region's blocks that lie in an article or main element, if
-    those hold a third of its text or more."""
-    size, found = [0, 0], []
-    for text, path, apart in page.blocks[first : last + 1]:
-        if text and not apart:
-            own = any(page.names[c] in ("article", "main") for c in path)
-            size[own] += len(text)
-            found += [path] * own
-    return found if 2 * size[1] >= size[0] else []
 
 
-def main_text(html: str, score: dict[str, float]) -> str:
-    page = Page(html)
+def best_region(scores: Iterable[float]) -> tuple[int, int] | None:
+    """The contiguous run (first, last) of the greatest sum over zero, the earliest and
+    then the longest of equals; None if there is none."""
     best, region, total, start = 0.0, None, 0.0, 0
-    for i, (kind, n, _) in enumerate(page.items):
-        if total <= 0:
+    for i, score in enumerate(scores):
+        if total < 0:
             total, start = 0.0, i
-        total += n * score.get(kind, UNKNOWN_TAG)
+        total += score
         if total > best:
             best, region = total, (start, i)
-    if region is None:
+    return region
+
+
+def _doubtful_sums(page: Page, score: dict[str, float]) -> list[float]:
+    """The sum of the words that each doubtful element holds."""
+    total = [0.0] * page.hints
+    for kind, n, _, hint in page.items:
+        if hint >= 0 and kind[0] != "<":
+            total[hint] += n * score.get(kind, UNKNOWN_TAG) * (kind != "apart")
+    return total
+
+
+def _holder(page: Page, first: int, last: int) -> int:
+    """The innermost container that holds two others."""
+    while not first <= last < max(page.after[first], first + 1):
+        first = page.parent[first]
+    return first
+
+
+def main_text(html: str, score: dict[str, float]) -> str:
+    page = Page(html)
+    dropped = [t <= score[DOUBTFUL] for t in _doubtful_sums(page, score)]
+    blocks = [(text, c) for text, c, apart, hint in page.blocks if not apart and not (hint >= 0 and dropped[hint])]
+    number = [-1]  # of the last kept block up to each block
+    for _, _, apart, hint in page.blocks:
+        number.append(number[-1] + (not apart and not (hint >= 0 and dropped[hint])))
+    items = [x for x in page.items if x[0] != "apart" and not (x[3] >= 0 and dropped[x[3]])]
+    region = best_region(n * score.get(kind, UNKNOWN_TAG) for kind, n, _, _ in items)
+    if region is None or not blocks:
         return ""
-    first, last = page.items[region[0]][2], page.items[region[1]][2]
-    inside = [b[1] for b in page.blocks[first : last + 1] if b[0] and not b[2]]
+    first, last = (number[min(items[i][2] + k, len(page.blocks))] + 1 - k for i, k in zip(region, (0, 1), strict=True))
+    inside = blocks[first : last + 1]
     if not inside:
         return ""
-    inside = _articles(page, first, last) or inside
-    common = inside[0]
-    for path in inside:
-        k = 0
-        while k < min(len(common), len(path)) and common[k] == path[k]:
-            k += 1
-        common = common[:k]
-    while common and page.names[common[-1]] in ("ul", "ol", "dl", "table", "tbody", "tr", "td", "blockquote", "figure"):
-        common = common[:-1]
-    for k, c in enumerate(common):
-        if page.names[c] in ("article", "main"):
-            common = common[: k + 1]
-            break
-    whole = bool(common) and page.names[common[-1]] not in ("html", "body")
-    if whole:
-        kept = (text for text, path, apart in page.blocks if text and not apart and path[: len(common)] == common)
-    else:
-        kept = (text for text, _, apart in page.blocks[first : last + 1] if text and not apart)
-    return "\n".join(kept)
+    size = sum(len(text) for text, _ in inside)
+    own = [(text, c) for text, c in inside if page.article[c]]
+    if 3 * sum(len(text) for text, _ in own) >= size:  # an article element holds a third of the region or more
+        inside = own
+    common = inside[0][1]
+    for _, c in inside:
+        common = _holder(page, min(common, c), max(common, c))
+    while common and page.names[common] in ("ul", "ol", "dl", "table", "tbody", "tr", "td", "blockquote", "figure"):
+        common = page.parent[common]
+    top = common
+    while top > 0:  # the outermost article that holds it
+        if page.names[top] in ("article", "main"):
+            common = top
+        top = page.parent[top]
+    if page.names[common] not in ("", "html", "body"):
+        return "\n".join(text for text, c in blocks if common <= c < page.after[common])
+    return "\n".join(text for text, _ in blocks[first : last + 1])
 
 
 def extract(pages: DataFrame) -> DataFrame:
