@@ -15,8 +15,9 @@ So no link that a band collision can show is lost, a bucket's pairs are never al
 emitted, and a group of copies costs as much as its members.
 
 Nulls count as empty texts.  Documents without words have no shingles, link with
-nothing and stay.  Rows without an id get no verdict.  Repeated ids with the same text are one document; other columns
-are ignored, whatever their names.
+nothing and stay.  Rows without an id get no verdict.  Rows that repeat an id are one
+document, of their least text if texts differ, and each gets its verdict.  An empty table
+gives an empty one; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 
 from keylode.llm import textvec
 from keylode.llm.components import components
-from keylode.llm.participants import texts_of
+from keylode.llm.participants import one_text, repeated_ids, texts_of
 from keylode.llm.work import Work, read
 
 #: 40 bands of 4 minima: a pair at similarity 0.75 meets in none with probability 2.5e-7.
@@ -57,7 +58,8 @@ class MinHash:
         least = np.full(len(self.a), np.iinfo(np.uint64).max, dtype=np.uint64)
         for i in range(0, values.size, 1024):
             least = np.minimum(least, (self.a * values[i : i + 1024] + self.b).min(axis=1))
-        return (least >> np.uint64(48)).astype(np.uint16).view(np.int64)
+        # mixed before the cut: the least of many hashes has few high bits left
+        return (textvec.mix(least) >> np.uint64(48)).astype(np.uint16).view(np.int64)
 
 
 def _fingerprint(values: np.ndarray) -> tuple[int, int]:
@@ -70,7 +72,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sign, empty = MinHash(), np.zeros(0, np.int64)
         for batch in batches:
-            for part in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
+            for part in textvec.parts(batch, "text", 500):
                 hashes, first, _, _ = textvec.words(part.column(1))
                 n, f1, f2, bands = [], [], [], []
                 known: dict[tuple[int, int], np.ndarray] = {}
@@ -208,7 +210,8 @@ def _across(members: DataFrame, comp: DataFrame, tested: DataFrame, classes: Dat
 def near_duplicates(docs: DataFrame, work: Work | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of docs (doc_id, text)."""
     work = work or Work(docs.sparkSession, "minhash")
-    docs = docs.select("doc_id", "text")
+    rows = docs.select("doc_id", "text")
+    docs = one_text(rows, work)
     signed = work.table(signatures(docs), "signed")
     grouped = signed.where("n_shingles > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")).where("rep is not null")
     classes = work.table(grouped, "classes")
@@ -234,7 +237,10 @@ def near_duplicates(docs: DataFrame, work: Work | None = None) -> DataFrame:
     found = work.table(named.select("f1", "f2", F.coalesce("component", "rep").alias("component")), "found")
     work.drop("classes", "links", "comp", "comp2", "more_links")
     out = signed.drop("bands").join(found, ["f1", "f2"], "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    if repeated_ids(rows.select("doc_id")) is not None:
+        out = rows.select("doc_id").join(out, "doc_id")
+    nameless = signatures(rows.where("doc_id is null")).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return out.union(nameless).withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
