@@ -10,16 +10,22 @@ ids.  Every task keeps its best k for each query; the best of those are the resu
 Queries are packed into chunks too and sent once to each of the salts that document
 chunks are dealt over; documents move once.  Neither side is broadcast or gathered.
 
-Weights are floor(256 * x).  Vectors that are null, empty or hold null or non-finite
-components take no part, nor do those with a weight beyond 2**31.  Only vectors of equal
-length are compared.  Rows that repeat an id are one vector, the least one.  A query
-without other vectors has no rows.  Other columns have no influence.
+Weights are floor(256 * x).  Products of weights under 2**20 are summed in floating
+point, which is exact; vectors with a larger weight are kept in chunks of their own and
+compared in Python's integers (slower, without bounds); a score beyond 64 bits ranks by its
+value and is given as the nearest 64-bit integer.  Vectors that are null, empty or hold
+null or non-finite components take no part.  Only vectors of equal length are compared.
+Rows that repeat an id are one vector, the least one; ids are integers.  A query without
+other vectors has no rows; an empty table gives an empty one.  Other columns have no
+influence, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections import OrderedDict
 from collections.abc import Iterator
+from math import floor
+from operator import mul
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +36,8 @@ from keylode.llm.work import read
 
 EVERY, TOP = 50, 5
 CHUNK, QUERIES, BLOCK = 4096, 1024, 128
+#: Weights below this give sums of up to 2**13 products under 2**53.
+EXACT = 2.0**20
 #: States of query chunks that a task holds before it hands the oldest on.
 HELD = 128
 
@@ -58,10 +66,14 @@ def _chunks(rows: DataFrame, most: int, names: tuple[str, str]) -> DataFrame:
         def out(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
             for ids, x in matrices(whole, most):
-                w = np.floor(256.0 * x)
-                ok = (np.abs(w) < 2.0**31).all(axis=1)
-                if ok.any():
-                    yield pa.RecordBatch.from_arrays([pa.array([x.shape[1]], pa.int32()), pa.array([ids[ok].astype("<i8").tobytes()]), pa.array([w[ok].astype("<i4").tobytes()])], names=["dim", *names])
+                with np.errstate(over="ignore"):
+                    w = np.floor(256.0 * x)
+                big = ~((np.abs(w) < EXACT).all(axis=1) & (x.shape[1] <= 1 << 13))
+                for large in (False, True):
+                    own = big == large
+                    if own.any():
+                        stored = x[own].astype("<f8") if large else w[own].astype("<i4")
+                        yield pa.RecordBatch.from_arrays([pa.array([x.shape[1]], pa.int32()), pa.array([large]), pa.array([ids[own].astype("<i8").tobytes()]), pa.array([stored.tobytes()])], names=["dim", f"{names[0]}_large", *names])
 
         held, n = [], 0
         for batch in batches:
@@ -74,7 +86,7 @@ def _chunks(rows: DataFrame, most: int, names: tuple[str, str]) -> DataFrame:
         if held:
             yield from out(held)
 
-    return rows.select("vec_id", "embedding").mapInArrow(run, f"dim int, {names[0]} binary, {names[1]} binary")
+    return rows.select("vec_id", "embedding").mapInArrow(run, f"dim int, {names[0]}_large boolean, {names[0]} binary, {names[1]} binary")
 
 
 class _Best:
@@ -120,32 +132,65 @@ class _Best:
         return pa.RecordBatch.from_arrays([pa.array(self.ids[q]), pa.array(self.vec[q, k]), pa.array(self.score[q, k].astype(np.int64))], names=["query_id", "vec_id", "score"])
 
 
-def _exact(weights: bytes, dim: int) -> np.ndarray:
-    return np.frombuffer(weights, "<i4").reshape(-1, dim).astype(np.float64)
+class _BestLarge:
+    """The same for pairs of chunks with weights whose sums need Python's integers."""
+
+    def __init__(self, ids: np.ndarray, weights: list[list[int]], k: int):
+        self.ids, self.weights, self.k = ids.tolist(), weights, k
+        self.found: list[list[tuple[int, int]]] = [[] for _ in self.ids]
+
+    def scan(self, ids: np.ndarray, weights: list[list[int]]) -> None:
+        docs = list(zip(ids.tolist(), weights, strict=True))
+        for query, own, found in zip(self.ids, self.weights, self.found, strict=True):
+            found += [(-sum(map(mul, own, w)), i) for i, w in docs if i != query]
+            found.sort()
+            del found[self.k :]
+
+    def rows(self) -> pa.RecordBatch:
+        out = [(q, i, -s) for q, found in zip(self.ids, self.found, strict=True) for s, i in found]
+        near = [max(-(2**63), min(2**63 - 1, s)) for _, _, s in out]
+        columns = [pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(near, pa.int64())], names=["query_id", "vec_id", "score"])
+
+
+def _small(raw: bytes, dim: int) -> np.ndarray:
+    return np.frombuffer(raw, "<i4").reshape(-1, dim).astype(np.float64)
+
+
+def _large(raw: bytes, dim: int, large: bool) -> list[list[int]]:
+    if not large:
+        return np.frombuffer(raw, "<i4").reshape(-1, dim).tolist()
+    whole = lambda x: 256 * int(x) if abs(x) >= 2.0**52 else floor(256.0 * x)
+    return [list(map(whole, row)) for row in np.frombuffer(raw, "<f8").reshape(-1, dim).tolist()]
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
     """query_id, rank, vec_id, score: the best k of all vectors for each query, both
-    as (vec_id, embedding).  Exact while a score stays under 2**53."""
+    as (vec_id, embedding)."""
     spark = vectors.sparkSession
+    vectors, queries = (x.select(F.col("vec_id").cast("long"), "embedding") for x in (vectors, queries))
     salts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = _chunks(vectors, CHUNK, ("ids", "weights")).withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(salts)).cast("int"))
     asked = _chunks(queries, QUERIES, ("query_ids", "query_weights")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: OrderedDict[bytes, _Best] = OrderedDict()
+        held: OrderedDict[tuple[bool, bytes], _Best | _BestLarge] = OrderedDict()
         for batch in batches:
             for i in range(batch.num_rows):
-                dim, ids, weights, query_ids, query_weights = (batch.column(c)[i].as_py() for c in range(5))
-                best = held.pop(query_ids, None) or _Best(np.frombuffer(query_ids, "<i8"), _exact(query_weights, dim), k)
-                held[query_ids] = best
-                best.scan(np.frombuffer(ids, "<i8"), _exact(weights, dim))
+                dim, ids_large, ids, weights, query_large, query_ids, query_weights = (batch.column(c)[i].as_py() for c in range(7))
+                large = ids_large or query_large
+                best = held.pop((large, query_ids), None)
+                if best is None:
+                    asks = np.frombuffer(query_ids, "<i8")
+                    best = _BestLarge(asks, _large(query_weights, dim, query_large), k) if large else _Best(asks, _small(query_weights, dim), k)
+                held[large, query_ids] = best
+                best.scan(np.frombuffer(ids, "<i8"), _large(weights, dim, ids_large) if large else _small(weights, dim))
                 if len(held) > HELD:
                     yield held.popitem(last=False)[1].rows()
         for best in held.values():
             yield best.rows()
 
-    pairs = docs.join(asked, ["dim", "salt"]).select("dim", "ids", "weights", "query_ids", "query_weights")
+    pairs = docs.join(asked, ["dim", "salt"]).select("dim", "ids_large", "ids", "weights", "query_ids_large", "query_ids", "query_weights")
     found = pairs.mapInArrow(run, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
