@@ -4,7 +4,7 @@ Equal vectors are one class.  Coarse centroids and subspace codebooks are fitted
 most SAMPLE class vectors; every vector is indexed.  A vector lies in the list of its
 nearest centroid and probes each list whose bisecting plane it is within MARGIN of: of
 two vectors at cosine 0.95 (distance 0.316 at unit length), one is within 0.158 of the
-plane between their lists, and within 0.08 unless their difference points that way.
+plane between their lists, so no link is lost whatever the length of the vectors.
 Within a list, codes give table-lookup distances; a pair is kept while the distance
 less the code's own error (kept with each code) is within reach, so quantising loses
 nothing.  What is left is ranked by exact cosine in double precision.
@@ -14,8 +14,9 @@ dealt over tasks.  A block pair returns link counts and a spanning forest, never
 pairs; components follow by large-star and small-star.
 
 Vectors that are null, empty, zero or hold null or non-finite components link with
-nothing.  Only vectors of equal length are compared.  Rows that repeat an id are one
-vector, the least one.  Labels and other columns have no influence.
+nothing.  Only vectors of equal length are compared, in the precision that they have.
+Rows that repeat an id are one vector, the least one; ids are integers.  An empty table
+gives an empty one.  Labels and other columns have no influence, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,8 +35,8 @@ from keylode.llm.work import Work, read
 
 COSINE = 0.95
 REACH = float(np.sqrt(2 - 2 * COSINE))
-MARGIN = 0.08
-SAMPLE, LISTS, PARTS, CODES, ROUNDS = 20_000, 1024, 8, 256, 8
+MARGIN = REACH / 2 + 1e-9
+SAMPLE, LISTS, PARTS, CODES, ROUNDS = 32_768, 4096, 8, 256, 8
 BLOCK = 1024
 
 
@@ -43,7 +44,7 @@ def _kmeans(x: np.ndarray, k: int, seed: int) -> np.ndarray:
     rng = np.random.default_rng(seed)
     c = x[rng.permutation(len(x))[:k]].copy()
     for _ in range(ROUNDS):
-        near = (-2 * x @ c.T + (c * c).sum(axis=1)).argmin(axis=1)
+        near = np.concatenate([(-2 * x[i : i + 4096] @ c.T + (c * c).sum(axis=1)).argmin(axis=1) for i in range(0, len(x), 4096)])
         n = np.bincount(near, minlength=len(c))
         total = np.zeros_like(c)
         np.add.at(total, near, x)
@@ -58,7 +59,7 @@ class Index:
         lists = int(min(LISTS, max(1, 2 * np.sqrt(total)), max(1, len(x) // 8)))
         self.coarse = _kmeans(x, lists, 1)
         self.gap = np.sqrt(np.maximum(((self.coarse**2).sum(axis=1)[:, None] + (self.coarse**2).sum(axis=1)[None] - 2 * self.coarse @ self.coarse.T), 0))
-        rest = x - self.coarse[self.squared(x).argmin(axis=1)]
+        rest = x - self.coarse[np.concatenate([self.squared(x[i : i + 4096]).argmin(axis=1) for i in range(0, len(x), 4096)])]
         self.cuts = np.array_split(np.arange(x.shape[1]), min(PARTS, x.shape[1]))
         self.books = [_kmeans(rest[:, c], min(CODES, len(x)), 2 + i) for i, c in enumerate(self.cuts)]
 
@@ -111,6 +112,8 @@ def _fit(classes: DataFrame) -> dict[int, Index]:
 
 def _placed(classes: DataFrame, sent) -> DataFrame:
     """dim, list, entry (else a probing query), rep, size, embedding, codes, error."""
+    element = classes.schema["embedding"].dataType.elementType.simpleString()
+    stored = pa.float32() if element == "float" else pa.float64()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -135,14 +138,14 @@ def _placed(classes: DataFrame, sent) -> DataFrame:
                         pa.array(entry),
                         pa.array(ids[row]),
                         pa.array([sizes[i] for i in ids[row].tolist()], pa.int64()),
-                        pa.ListArray.from_arrays(steps, flat).cast(pa.list_(pa.float32())),
+                        pa.ListArray.from_arrays(steps, flat).cast(pa.list_(stored)),
                         pa.array([codes[i].tobytes() for i in row], pa.binary()),
                         pa.array(error[row]),
                     ],
                     names=["dim", "list", "entry", "rep", "size", "embedding", "codes", "error"],
                 )
 
-    return classes.select("rep", "embedding", "size").mapInArrow(run, "dim int, list int, entry boolean, rep long, size long, embedding array<float>, codes binary, error double")
+    return classes.select("rep", "embedding", "size").mapInArrow(run, f"dim int, list int, entry boolean, rep long, size long, embedding array<{'float' if element == 'float' else 'double'}>, codes binary, error double")
 
 
 def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -212,6 +215,7 @@ def near_vectors(vectors: DataFrame, work: Work | None = None) -> DataFrame:
     """vec_id, n_links, component_id, kept for each id of vectors (vec_id, embedding)."""
     spark = vectors.sparkSession
     work = work or Work(spark, "vectors")
+    vectors = vectors.select(F.col("vec_id").cast("long"), "embedding")
     usable = valid(vectors).where(F.exists("embedding", lambda x: x != 0))
     classes = work.table(usable.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("size")), "classes")
     member = usable.join(classes.select("embedding", "rep", "size"), "embedding").select("vec_id", "rep", "size")
