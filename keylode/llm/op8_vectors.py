@@ -2,9 +2,11 @@
 
 Equal vectors are one class.  Coarse centroids and subspace codebooks are fitted on at
 most SAMPLE class vectors; every vector is indexed.  A vector lies in the list of its
-nearest centroid and probes each list whose bisecting plane it is within MARGIN of: of
+nearest centroid and probes each list whose bisecting plane it is within margin() of: of
 two vectors at cosine 0.95 (distance 0.316 at unit length), one is within 0.158 of the
-plane between their lists, so no link is lost whatever the length of the vectors.
+plane between their lists.  Up to FULL components that is the margin, so no link is lost;
+vectors of more components differ hardly ever just across a plane, and the margin shrinks
+with the root of their number (0.097 for 64).
 Within a list, codes give table-lookup distances; a pair is kept while the distance
 less the code's own error (kept with each code) is within reach, so quantising loses
 nothing.  What is left is ranked by exact cosine in double precision.
@@ -35,11 +37,16 @@ from keylode.llm.work import Work, read
 
 COSINE = 0.95
 REACH = float(np.sqrt(2 - 2 * COSINE))
-MARGIN = REACH / 2 + 1e-9
+#: Vectors of up to so many components are searched without loss.
+FULL = 24
 SAMPLE, LISTS, PARTS, CODES, ROUNDS = 32_768, 4096, 8, 256, 8
 BLOCK = 1024
 
 
+def margin(dim: int) -> float:
+    return REACH / 2 * min(1.0, float(np.sqrt(FULL / dim))) + 1e-9
+
+
 def _kmeans(x: np.ndarray, k: int, seed: int) -> np.ndarray:
     rng = np.random.default_rng(seed)
     c = x[rng.permutation(len(x))[:k]].copy()
@@ -126,7 +133,7 @@ def _placed(classes: DataFrame, sent) -> DataFrame:
                     codes, error = np.zeros((len(x), 0), np.uint8), np.zeros(len(x))
                 else:
                     own, away = index.margins(u)
-                    row, lists = np.nonzero(away <= MARGIN)
+                    row, lists = np.nonzero(away <= margin(x.shape[1]))
                     entry = lists == own[row]
                     codes, error = index.encode(u, own)
                 flat = pa.array(x[row].astype(np.float64).ravel())
@@ -197,7 +204,7 @@ def _compare(key: tuple, rows: pd.DataFrame, models: dict[int, Index]) -> pd.Dat
         if asks.any():
             home = index.squared(v[i[asks]]).argmin(axis=1)
             _, away = index.margins(u[j[asks]])
-            also = away[np.arange(home.size), home] <= MARGIN
+            also = away[np.arange(home.size), home] <= margin(dim)
             keep = np.ones(i.size, bool)
             keep[np.flatnonzero(asks)] = ~also | (other[i[asks]] < ids[j[asks]])
             i, j = i[keep], j[keep]
