@@ -6,12 +6,16 @@ FTRL-proximal (McMahan et al., 2013) keeps a learning rate for each coordinate a
 its L1 term leaves a few hundred weights, which are broadcast; the number of
 coordinates bounds them (12 MB).
 
-The model is fitted on at most TRAIN_ROWS labelled rows (those of the smallest hash),
-in one task that holds their texts only.  Rows whose crc32(doc_id) mod 5 is 0 are
-held out.  Labels, language, source and id never enter a score.
+The model is fitted on at most TRAIN_ROWS labelled rows (those of the smallest hash).
+Their features are hashed where the texts lie; one task gets each row's distinct
+coordinates (2**20 of four bytes at most) and makes PASSES passes over them.  Rows whose
+crc32(doc_id) mod 5 is 0 are held out.  Labels, language, source and id never enter a
+score.  Rates, L1 and passes were chosen by cross-validation within the other rows.
 
 Null and empty texts have no features and score the bias alone.  Labelled rows that
-repeat count once, with the higher label.  Without any labelled row every score is 0.
+repeat count once, with the higher label; of several texts of one id the least is learnt
+from, and every row is scored by its own text.  Without any labelled row every score is
+0.  An empty table gives an empty one; other columns have no influence.
 """
 
 from __future__ import annotations
@@ -28,9 +32,8 @@ from keylode.llm.work import Work, read
 
 BITS = 20
 TRAIN_ROWS = 12_000
-#: Passes over the rows: as many as make this number of updates, from 2 to 20.
-UPDATES = 24_000
-ALPHA, BETA, L1, L2 = 1.0, 1.0, 4.0, 0.0
+PASSES = 5
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 6.0, 0.0
 STEMS = (4, 5)
 BIAS = 0  # this coordinate is in every text
 
@@ -79,20 +82,33 @@ class Ftrl:
         self.n[at] = n + g * g
 
 
+def coordinates(column: pa.Array) -> list[np.ndarray]:
+    """The distinct coordinates of each text, the bias among them."""
+    row, index = features(column)
+    pair = np.unique(np.concatenate([row * (1 << BITS) + index, np.arange(len(column)) * (1 << BITS) + BIAS]))
+    bounds = np.searchsorted(pair, np.arange(1, len(column)) << BITS)
+    return [x.astype(np.int32) for x in np.split(pair & ((1 << BITS) - 1), bounds)] if len(column) else []
+
+
+def learnt(rows: list[tuple[np.ndarray, int]]) -> Ftrl:
+    model = Ftrl()
+    for _ in range(PASSES):
+        for at, label in rows:
+            model.learn(at, label)
+    return model
+
+
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in textvec.parts(batch, "text", 100):
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("toxic"), pa.array(coordinates(part.column("text")), pa.list_(pa.int32()))], names=["doc_id", "toxic", "at"])
+
+
 def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    model, kept = Ftrl(), list(batches)
-    rows = max(1, sum(b.num_rows for b in kept))
-    for _ in range(min(20, max(2, -(-UPDATES // rows)))):
-        for batch in kept:
-            for part in (batch.slice(i, 100) for i in range(0, batch.num_rows, 100)):
-                row, index = features(part.column(0))
-                order = np.argsort(row, kind="stable")
-                bounds = np.searchsorted(row[order], np.arange(part.num_rows + 1))
-                for i, label in enumerate(part.column(1).to_pylist()):
-                    own = np.unique(index[order[bounds[i] : bounds[i + 1]]])
-                    model.learn(np.append(own, BIAS), label)
+    rows = [(np.asarray(at), label) for batch in batches for at, label in zip((x.values for x in batch.column(1)), batch.column(0).to_pylist(), strict=True)]
+    model = learnt(rows)
     at = np.flatnonzero(model.weights(np.arange(1 << BITS)))
-    if sum(b.num_rows for b in kept):
+    if rows:
         at = np.union1d(at, [BIAS])
     yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(model.weights(at))], names=["coordinate", "weight"])
 
@@ -105,8 +121,11 @@ def fit(docs: DataFrame, labels: DataFrame, work: Work | None = None) -> dict[st
     """The coordinates with a weight, and the weights."""
     known = labels.where("doc_id is not null and toxic is not null").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
-    ordered = rows.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id").select("text", "toxic")
+    # at most TRAIN_ROWS ids: the rows of their texts are few, so the least text costs little
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    hashed = rows.mapInArrow(_hashed, f"doc_id {kind}, toxic int, at array<int>")
+    ordered = hashed.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id").select("toxic", "at")
     model = ordered.mapInArrow(_train, "coordinate long, weight double").toPandas()
     return {"coordinate": model["coordinate"].to_numpy(np.int64), "weight": model["weight"].to_numpy(float)}
 
@@ -122,7 +141,7 @@ def score(docs: DataFrame, model: dict[str, np.ndarray], names: tuple[str, str]
         weights[coordinate] = sent.value["weight"]
         bias = float(weights[BIAS])
         for batch in batches:
-            for part in (batch.slice(i, 400) for i in range(0, batch.num_rows, 400)):
+            for part in textvec.parts(batch, "text", 400):
                 row, index = features(part.column("text"))
                 hit = np.flatnonzero(weights[index])
                 pair = np.unique(row[hit] * (1 << BITS) + index[hit])

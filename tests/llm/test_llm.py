@@ -342,6 +342,41 @@ def test_op6(spark):
     assert [x["score"] for x in none.collect()] == [0, 0, 0]
 
 
+def test_op6_against_plain_ftrl():
+    r = random.Random(16)
+    texts = [prose(r, r.randint(0, 40), 30) for _ in range(150)] + ["", None]
+    at = op6_toxicity.coordinates(pa.array(texts))
+    assert len(at) == len(texts) and all(x[0] == op6_toxicity.BIAS and (np.diff(x) > 0).all() for x in at)
+    labels = [int("abc1" in (t or "") or r.random() < 0.3) for t in texts]
+    z, n = {}, {}
+    a, b, l1 = op6_toxicity.ALPHA, op6_toxicity.BETA, op6_toxicity.L1
+
+    def weight(i):
+        v = z.get(i, 0.0)
+        return 0.0 if abs(v) <= l1 else -(v - l1 * (1 if v > 0 else -1)) / ((b + n.get(i, 0.0) ** 0.5) / a + op6_toxicity.L2)
+
+    for _ in range(op6_toxicity.PASSES):
+        for x, y in zip(at, labels):
+            w = {i: weight(i) for i in x.tolist()}
+            g = 1 / (1 + np.exp(-sum(w.values()))) - y
+            for i in w:
+                before = n.get(i, 0.0)
+                z[i] = z.get(i, 0.0) + g - ((before + g * g) ** 0.5 - before**0.5) / a * w[i]
+                n[i] = before + g * g
+    model = op6_toxicity.learnt(list(zip(at, labels)))
+    every = np.array(sorted(n))
+    assert np.allclose(model.weights(every), [weight(i) for i in every.tolist()]) and np.count_nonzero(model.weights(every)) > 3
+    assert not np.delete(model.n, every).any()
+
+
+def test_op6_repeated_ids_and_columns(spark):
+    rows = [(i, f"word{i % 7} " * (1 + i % 5) + ("scummy" if i % 4 == 0 else "kind"), 0.5, i) for i in range(300)] + [(4, "another text", 0.5, 1), (None, "scummy", 0.5, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score double, toxic long")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0), "x") for i in range(300)], "doc_id long, toxic int, text string")
+    one, two = (sorted((x["doc_id"] or -1, x["score"], x["toxic"]) for x in op6_toxicity.toxicity(d, labels).collect()) for d in (docs, docs.repartition(7)))
+    assert one == two and len(one) == 302
+
+
 def test_op7(spark, docs, corpus):
     found = op7_substring.repeated_passages(docs).toPandas()
     grams = {}
