@@ -54,7 +54,3 @@ def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """doc_id and text of the documents (one row each) whose doc_id is in ids."""
     return docs.select("doc_id", "text").join(bounded(ids), "doc_id", "left_semi")
 
-
-def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs whose doc_id isn't in ids; rows without an id stay."""
-    return docs.join(bounded(ids), "doc_id", "left_anti")

@@ -665,3 +665,36 @@ def test_pipeline(spark, docs, corpus, tmp_path):
     assert state.where("doc_id = 3000").count() == 1 and seen["privacy"][3000] == "mail [EMAIL] now" and seen["privacy"][None] == "no id"
     out = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
     assert set(out["doc_id"].dropna()) == {i for i in seen["privacy"] if i is not None}
+
+
+def test_pipeline_stages_on_odd_rows(spark, tmp_path):
+    """Empty tables, repeated ids with the same and with other texts, extra columns of
+    clashing names: what the stages' docstrings say."""
+    r = random.Random(31)
+    a, b, c = prose(r, 120, 10**6), prose(r, 120, 10**6), prose(r, 120, 10**6)
+    shape = EMPTY + ", key long, kept boolean, a string, score double"
+    rows = [(i, t, "en", x, len(t or ""), 1, True, "x", 0.5) for i, t, x in [(1, a, "s"), (1, a, "r"), (1, b, "s"), (2, b, "s"), (3, c, "s"), (4, None, "s"), (4, "", "s"), (None, c, "s"), (None, None, "s")]]
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for data in ([], rows):
+        docs = spark.createDataFrame(data, shape)
+        seen = {}
+        for name, stage in corpus_pipeline.STAGES[:4]:
+            out = stage(spark, docs, str(tmp_path))
+            assert out.columns == docs.columns and out.schema["n_chars"].dataType == docs.schema["n_chars"].dataType
+            docs = spark.createDataFrame(out.collect(), shape)
+            seen[name] = sorted((x["doc_id"] or -1, x["text"] or "", x["source"]) for x in docs.collect())
+        assert corpus_pipeline.packing(spark, docs, str(tmp_path)).count() == len(seen["privacy"])
+    assert len(seen["toxicity"]) == 9
+    least = min(a, b)  # the least text of id 1 has that id; its other text is a document by itself
+    want = [(1, a, "r"), (3, c, "s"), (4, "", "s"), (4, "", "s"), (-1, c, "s"), (-1, "", "s"), (1, b, "s") if least == b else (2, b, "s")]
+    assert seen["near_dedup"] == sorted(want)
+    assert [x[0] for x in seen["passages"]] == [x[0] for x in seen["near_dedup"]]
+
+
+def test_packing_and_search_with_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "a b c", 1, "x", 5), (1, "a b c", 2, "x", 5), (None, None, 3, "x", 5)], "doc_id long, text string, start long, ids string, length int")
+    out = op3_packing.packed(docs, op3_packing.tokenizer_path()).collect()
+    assert sorted((x["doc_id"] or 0, x["start"], x["length"]) for x in out) == [(0, 0, 1), (1, 0, 4), (1, 0, 4)]
+    vectors = spark.createDataFrame([(i, [float(i), 1.0], 1, 2, 3) for i in range(60)], "vec_id long, embedding array<double>, score int, rank int, dim int")
+    frame = op9_topk.valid(vectors)
+    assert op9_topk.top_k(frame, frame.where("vec_id % 50 = 0")).count() == 10
