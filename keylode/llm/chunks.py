@@ -103,7 +103,7 @@ def gathered(flat: np.ndarray, start: np.ndarray, size: np.ndarray, which: np.nd
 
 
 #: Bytes of the texts whose words are numbered together.
-SLICE = 1 << 23
+SLICE = 1 << 22
 
 
 class Words:
@@ -114,7 +114,7 @@ class Words:
     are kept as their lower-case core and the marks after it, and cores of letters
     alone (one piece each) are encoded many at a time."""
 
-    def __init__(self, path: str, most: int = 800_000):
+    def __init__(self, path: str, most: int = 300_000):
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -203,6 +203,6 @@ class Words:
             start, size = np.append(np.cumsum(size) - size, flat.size - 1), np.append(size, 1)
             which = np.insert(np.asarray(words.indices, dtype=np.int64), stops, size.size - 1)
             stops += np.arange(1, stops.size + 1)
-            ids = np.concatenate([gathered(flat, start, size, which[i : i + 1_000_000]) for i in range(0, which.size, 1_000_000)])
+            ids = np.concatenate([gathered(flat, start, size, which[i : i + 250_000]) for i in range(0, which.size, 250_000)])
             yield first, np.diff(np.concatenate([[0], np.cumsum(size[which])])[np.append(0, stops)]), ids
             first = to

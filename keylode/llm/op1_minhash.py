@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from keylode.llm import textvec
 from keylode.llm.components import components
 from keylode.llm.participants import one_text, repeated_ids, texts_of
+from keylode.llm.memory import settled
 from keylode.llm.work import Work, read
 
 #: 40 bands of 4 minima: a pair at similarity 0.75 meets in none with probability 2.5e-7.
@@ -69,6 +70,7 @@ def _fingerprint(values: np.ndarray) -> tuple[int, int]:
 def signatures(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, f1, f2 (a 128-bit fingerprint of the shingle set), bands."""
 
+    @settled
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sign, empty = MinHash(), np.zeros(0, np.int64)
         for batch in batches:
@@ -99,6 +101,7 @@ def signatures(docs: DataFrame) -> DataFrame:
 def _alike(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """Pairs (a, b) whose signatures agree in enough minima."""
 
+    @settled
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = (np.asarray(c.flatten()).reshape(-1, BANDS).view(np.uint16) for c in (batch.column(2), batch.column(3)))
@@ -127,6 +130,7 @@ def _shingle_sets(column: pa.Array) -> list[np.ndarray]:
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs whose full shingle sets are similar enough."""
 
+    @settled
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, own = None, np.zeros(0, np.uint64)
         for batch in batches:

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from keylode.llm.boost import Trees
+from keylode.llm.memory import settled
 from keylode.llm.work import Work, read
 
 KINDS = ("email", "ip", "card", "phone")
@@ -269,6 +270,7 @@ def detect(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) to doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans."""
     fitted = docs.sparkSession.sparkContext.broadcast(model())
 
+    @settled
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[list] = [[] for _ in range(6)]
@@ -290,6 +292,7 @@ def redact(docs: DataFrame, work: Work | None = None) -> DataFrame:
     fitted = docs.sparkSession.sparkContext.broadcast(model())
     names = docs.columns
 
+    @settled
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [v.as_py() for v in batch.column("text")]

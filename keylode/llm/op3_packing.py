@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 
 from keylode.llm import textvec
 from keylode.llm.chunks import Words
+from keylode.llm.memory import settled
 from keylode.llm.work import Work, read
 
 WINDOW, STEP, END = 4096, 16, 2
@@ -55,6 +56,7 @@ def _words(path: str) -> Words:
 def tokens(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, doc_tokens, ids (little-endian 16-bit where all fit, else 32-bit)."""
 
+    @settled
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _words(path)
         for batch in batches:
@@ -187,6 +189,7 @@ def pack(encoded: DataFrame, with_ids: bool = False) -> DataFrame:
     total = sum(histogram.values())
     sent = encoded.sparkSession.sparkContext.broadcast(plan(histogram))
 
+    @settled
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = Packer(sent.value, total, TaskContext.get().partitionId())
 

@@ -20,6 +20,7 @@ from, and every row is scored by its own text.  Without any labelled row every s
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keylode.llm import textvec
+from keylode.llm.memory import settled
 from keylode.llm.work import Work, read
 
 BITS = 20
@@ -98,14 +100,18 @@ def learnt(rows: list[tuple[np.ndarray, int]]) -> Ftrl:
     return model
 
 
+@settled
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in textvec.parts(batch, "text", 100):
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("toxic"), pa.array(coordinates(part.column("text")), pa.list_(pa.int32()))], names=["doc_id", "toxic", "at"])
+            packed = [zlib.compress(np.diff(x, prepend=np.int32(0)).tobytes(), 1) for x in coordinates(part.column("text"))]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("toxic"), pa.array(packed, pa.binary())], names=["doc_id", "toxic", "at"])
 
 
+@settled
 def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    rows = [(np.asarray(at), label) for batch in batches for at, label in zip((x.values for x in batch.column(1)), batch.column(0).to_pylist(), strict=True)]
+    unpacked = lambda x: np.cumsum(np.frombuffer(zlib.decompress(x.as_buffer()), np.int32), dtype=np.int32)
+    rows = [(unpacked(at), label) for batch in batches for at, label in zip(batch.column(1), batch.column(0).to_pylist(), strict=True)]
     model = learnt(rows)
     at = np.flatnonzero(model.weights(np.arange(1 << BITS)))
     if rows:
@@ -124,7 +130,7 @@ def fit(docs: DataFrame, labels: DataFrame, work: Work | None = None) -> dict[st
     # at most TRAIN_ROWS ids: the rows of their texts are few, so the least text costs little
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    hashed = rows.mapInArrow(_hashed, f"doc_id {kind}, toxic int, at array<int>")
+    hashed = rows.mapInArrow(_hashed, f"doc_id {kind}, toxic int, at binary")
     ordered = hashed.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id").select("toxic", "at")
     model = ordered.mapInArrow(_train, "coordinate long, weight double").toPandas()
     return {"coordinate": model["coordinate"].to_numpy(np.int64), "weight": model["weight"].to_numpy(float)}
@@ -135,6 +141,7 @@ def score(docs: DataFrame, model: dict[str, np.ndarray], names: tuple[str, str]
     which replace columns of docs that are called so."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
+    @settled
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = np.zeros(1 << BITS, np.float32)
         coordinate = sent.value["coordinate"]
