@@ -312,7 +312,10 @@ def stream_latest_state(spark: SparkSession, sf: str) -> DataFrame:
     import uuid
 
     path = f"{sf}/events.parquet"
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="keylode-")
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the cluster shares")
+    shared = shared or "file://" + tempfile.mkdtemp(prefix="keylode-")
     out = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
     # a pattern, as a stream of a path that is one file isn't accepted
     last = stream_latest(spark, spark.read.parquet(path).schema, f"{path[:-1]}[{path[-1]}]", "user_id", ["ts", "event_id"], ["event_id", "value"], out)

@@ -44,3 +44,15 @@ def test_prefix_reaches_the_scan(spark, tmp_path):
     plan = scan(table, "b", b"1")._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(b" in plan and "LessThan(b" in plan
     assert "StringStartsWith(s,1)" in scan(table, "s", "1")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_an_empty_stream_has_an_empty_state(spark, tmp_path):
+    from pyspark.sql import types as T
+
+    from keylode.streaming.latest import stream_latest
+
+    (tmp_path / "in").mkdir()
+    shape = T.StructType().add("k", "long").add("at", "long").add("v", "string")
+    last = stream_latest(spark, shape, str(tmp_path / "in"), "k", ["at"], ["v"], f"file://{tmp_path}/out")
+    rows = spark.read.parquet(last)
+    assert rows.columns == ["k", "v"] and rows.count() == 0
