@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import json
+import os
+import uuid
 
 from pyspark.sql import SparkSession
 
 
 class Files:
     def __init__(self, spark: SparkSession):
+        self.gateway = spark.sparkContext._gateway
         self.jvm, self.conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
 
     def path(self, name: str):
@@ -41,8 +44,9 @@ class Files:
             stream.close()
 
     def put(self, name: str, data: bytes) -> None:
-        """Written aside, then renamed over: readers see the old or the new file."""
-        aside, system = f"{name}.new", self.system(name)
+        """Written aside, then renamed over in one step: readers see the old or the new
+        file.  An object store's rename is a copy, so there only the copy is one step."""
+        aside, system = f"{name}.{uuid.uuid4().hex}.new", self.system(name)
         system.setWriteChecksum(False)  # a local checksum file would forbid edits by other tools
         try:
             stream = system.create(self.path(aside), True)
@@ -50,10 +54,43 @@ class Files:
             stream.close()
         finally:
             system.setWriteChecksum(True)
-        if system.exists(self.path(name)):
-            system.delete(self.path(name), False)
-        if not system.rename(self.path(aside), self.path(name)):
-            raise OSError(f"can't write {name}")
+        self._over(aside, name)
+
+    def _over(self, aside: str, name: str) -> None:
+        old, new, system = self.path(name), self.path(aside), self.system(name)
+        if system.getUri().getScheme() == "file":  # the system call replaces the target
+            system.delete(system.getChecksumFile(old), False)  # it speaks of the file before
+            os.replace(new.toUri().getPath(), old.toUri().getPath())
+            return
+        fs = self.jvm.org.apache.hadoop.fs
+        over = self.gateway.new_array(getattr(fs, "Options$Rename"), 1)
+        over[0] = getattr(fs, "Options$Rename").OVERWRITE
+        fs.FileContext.getFileContext(system.getUri(), self.conf).rename(system.makeQualified(new), system.makeQualified(old), over)
+
+    def last_byte(self, name: str) -> bytes:
+        """The last byte of a file, empty for an empty one."""
+        size, _ = self.stat(name)
+        if not size:
+            return b""
+        stream = self.system(name).open(self.path(name))
+        try:
+            stream.seek(size - 1)
+            return bytes([stream.read()])
+        finally:
+            stream.close()
+
+    def append(self, name: str, data: bytes) -> None:
+        """Add to the end of a file; what it holds isn't read.  A store that can't append
+        refuses it."""
+        system, path = self.system(name), self.path(name)
+        if system.getUri().getScheme() == "file":
+            system.delete(system.getChecksumFile(path), False)  # it speaks of the file before
+            system = system.getRawFileSystem()
+        stream = system.append(path)
+        try:
+            stream.write(bytearray(data))
+        finally:
+            stream.close()
 
     def read_json(self, name: str) -> dict:
         return json.loads(self.read(name))
