@@ -55,10 +55,20 @@ class Handle:
 
 
 class Pool:
-    def __init__(self, opener: Callable[..., Any], idle_s: float = 300.0, clock: Callable[[], float] = time.monotonic):
+    """sweep_s: seconds between sweeps of a thread of its own; 0 means that only sweep()
+    closes idle resources."""
+
+    def __init__(self, opener: Callable[..., Any], idle_s: float = 300.0, clock: Callable[[], float] = time.monotonic, sweep_s: float = 0.0):
         self._opener, self._idle, self._clock = opener, idle_s, clock
         self._entries: dict[str, _Entry] = {}
         self._lock, self._open = threading.Lock(), True
+        self._stop = threading.Event()
+        if sweep_s > 0:
+            threading.Thread(target=self._reap, args=(sweep_s,), daemon=True).start()
+
+    def _reap(self, every: float) -> None:
+        while not self._stop.wait(every):
+            self.sweep()
 
     def acquire(self, name: str, *more: Any) -> Handle:
         checked_name(name)
@@ -79,10 +89,10 @@ class Pool:
             entry.idle_since = self._clock()
 
     def sweep(self) -> None:
-        """Close what nobody has held for longer than the idle time."""
+        """Close what nobody has held for the idle time."""
         for entry in list(self._entries.values()):
             with entry.lock:
-                if entry.resource is not None and not entry.refs and self._clock() - entry.idle_since > self._idle:
+                if entry.resource is not None and not entry.refs and self._clock() - entry.idle_since >= self._idle:
                     self._shut(entry)
 
     def _shut(self, entry: _Entry) -> None:
@@ -95,13 +105,16 @@ class Pool:
 
     def stats(self) -> list[dict]:
         with self._lock:
-            return [{"name": n, "open": e.resource is not None, "refs": e.refs, "error": e.error} for n, e in sorted(self._entries.items())]
+            now = self._clock()
+            idle = lambda e: now - e.idle_since if e.resource is not None and not e.refs else None
+            return [{"name": n, "open": e.resource is not None, "refs": e.refs, "idle_s": idle(e), "error": e.error} for n, e in sorted(self._entries.items())]
 
     def close(self) -> None:
         with self._lock:
             if not self._open:
                 raise ManagerClosed("pool")
             self._open = False
+        self._stop.set()
         for entry in self._entries.values():
             with entry.lock:
                 if entry.resource is not None:
@@ -109,7 +122,7 @@ class Pool:
 
 
 def stats_frame(spark: SparkSession, pool: Pool) -> DataFrame:
-    return spark.createDataFrame([(s["name"], s["open"], s["refs"], s["error"]) for s in pool.stats()], "name string, open boolean, refs int, error string")
+    return spark.createDataFrame([(s["name"], s["open"], s["refs"], s["idle_s"], s["error"]) for s in pool.stats()], "name string, open boolean, refs int, idle_s double, error string")
 
 
 class LogManager(Pool):
@@ -129,6 +142,8 @@ class SortedManager(Pool):
 
     def __init__(self, spark: SparkSession, cache: str, key: sorted_table.KeyFunction, options: sorted_table.Options = sorted_table.Options(), **more: Any):
         def opener(name: str, paths: Sequence[str]) -> sorted_table.SortedTable:
+            if not paths:
+                raise ValueError("no sources")
             return sorted_table.ensure_fresh(spark, paths, f"{cache}/{name}", key, options)
 
         super().__init__(opener, **more)
