@@ -5,6 +5,7 @@ A log row has key, value, tombstone, seg and seq (the order of writing).
 
 from __future__ import annotations
 
+import zlib
 from math import ceil, log
 
 from pyspark.sql import Column, DataFrame
@@ -39,18 +40,19 @@ def segment_stats(rows: DataFrame) -> DataFrame:
     )
 
 
-def compaction_candidates(rows: DataFrame, ratio: float = 0.5) -> DataFrame:
-    """Segments whose share of dead bytes is ratio or more; not the last, still open."""
+def compaction_candidates(rows: DataFrame, ratio: float = 0.5, capacity: int = 0) -> DataFrame:
+    """Segments whose share of dead bytes is ratio or more, of the bytes that a segment
+    may hold or, with no capacity given, of those it holds; not the last, still open."""
     stats = segment_stats(rows)
     last = rows.agg(F.max("seg").alias("_open"))
-    share = F.col("dead_bytes").cast("double") / F.col("bytes").cast("double")
+    share = F.col("dead_bytes").cast("double") / (F.lit(capacity) if capacity else F.col("bytes")).cast("double")
     return stats.join(F.broadcast(last), F.col("seg") < F.col("_open")).where(share >= ratio).drop("_open")
 
 
-def compacted(rows: DataFrame, ratio: float = 0.5) -> DataFrame:
+def compacted(rows: DataFrame, ratio: float = 0.5, capacity: int = 0) -> DataFrame:
     """The log with its candidates rewritten: only each key's last record stays in
     them, tombstones included, as an older record may live on in another segment."""
-    chosen = compaction_candidates(rows, ratio).select("seg", F.lit(True).alias("_chosen"))
+    chosen = compaction_candidates(rows, ratio, capacity).select("seg", F.lit(True).alias("_chosen"))
     marked = with_dead(rows).join(chosen, "seg", "left")
     return marked.where(F.col("_chosen").isNull() | F.col("last")).select(*rows.columns)
 
@@ -65,9 +67,23 @@ def store_stats(rows: DataFrame) -> DataFrame:
     )
 
 
-def checksum(*parts: str) -> Column:
-    """CRC-32 (IEEE) of the parts end to end."""
-    return F.crc32(F.concat(*(F.col(p).cast("binary") for p in parts)))
+def record_crc() -> Column:
+    """CRC-32 (IEEE) of a record: its lengths, tombstone, time and order, then key and
+    value.  A value of null counts as empty; the tombstone tells them apart."""
+    value = F.coalesce(F.col("value").cast("binary"), F.lit(b""))
+    head = F.concat_ws(":", F.octet_length("key"), F.octet_length(value), F.col("tombstone").cast("int"), "ts_ns", "seq", F.lit(""))
+    return F.crc32(F.concat(head.cast("binary"), F.col("key").cast("binary"), value))
+
+
+def crc_of(key: bytes, value: bytes | None, ts_ns: int, seq: int) -> int:
+    """The same for one record; no value means a tombstone."""
+    own = value or b""
+    return zlib.crc32(f"{len(key)}:{len(own)}:{int(value is None)}:{ts_ns}:{seq}:".encode() + key + own)
+
+
+def sound() -> Column:
+    """Whether a record is as its stored checksum (`crc`) says; none means no."""
+    return F.coalesce(record_crc() == F.col("crc"), F.lit(False))
 
 
 def bloom_size(n: int, rate: float) -> tuple[int, int]:

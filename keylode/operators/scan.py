@@ -32,12 +32,12 @@ def get(table: DataFrame, key: str, value: object) -> DataFrame:
 
 
 def multi_get(table: DataFrame, probes: DataFrame, key: str) -> DataFrame:
-    return table.join(probes.select(key).distinct(), key, "left_semi")
+    return table.join(probes.select(key), key, "left_semi")
 
 
 def has(table: DataFrame, probes: DataFrame, key: str) -> DataFrame:
     """probes with `found`."""
-    known = table.select(key).join(probes.select(key).distinct(), key, "left_semi").distinct().withColumn("found", F.lit(True))
+    known = table.select(key).join(probes.select(key), key, "left_semi").distinct().withColumn("found", F.lit(True))
     return probes.join(known, key, "left").withColumn("found", F.coalesce("found", F.lit(False)))
 
 
@@ -64,6 +64,17 @@ def filter_all(table: DataFrame, keep: Column | Callable[[str], Column], line: s
 PER_RANGE = 64
 
 
+def _range_of(rows: DataFrame, key: str) -> Callable[[str], Column]:
+    """The number of a value's range, for ranges cut by a bounded sample of keys."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # the least hashes are the same keys in each run; nulls cut nothing
+    picked = sorted(r[0] for r in rows.select(key).where(F.col(key).isNotNull()).orderBy(F.xxhash64(key)).limit(PER_RANGE * parts).collect())
+    cuts = list(dict.fromkeys(picked[PER_RANGE::PER_RANGE]))
+    if not cuts:
+        return lambda c: F.lit(0)
+    return lambda c: F.size(F.filter(F.array(*map(F.lit, cuts)), lambda cut: cut <= F.col(c)))
+
+
 def positions(rows: DataFrame, key: str, name: str = "pos", reverse: bool = False) -> DataFrame:
     """rows with their place (from 1) in the order of a unique, non-null key.
 
@@ -71,11 +82,7 @@ def positions(rows: DataFrame, key: str, name: str = "pos", reverse: bool = Fals
     and moved by the sizes of the ranges before it, so no task sorts all rows and the
     result doesn't depend on the sample.
     """
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    picked = sorted(r[0] for r in rows.select(key).orderBy(F.xxhash64(key)).limit(PER_RANGE * parts).collect())
-    cuts = picked[PER_RANGE::PER_RANGE]
-    part = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col(key))) if cuts else F.lit(0)
-    ranged = rows.withColumn("_range", part)
+    ranged = rows.withColumn("_range", _range_of(rows, key)(key))
     direction = F.col(key).desc() if reverse else F.col(key).asc()
     within = ranged.withColumn("_at", F.row_number().over(Window.partitionBy("_range").orderBy(direction)))
     # a row for each range: one more than cuts at most
@@ -89,17 +96,21 @@ def sparse_sample(rows: DataFrame, key: str, every: int) -> DataFrame:
     return positions(rows, key).where((F.col("pos") - 1) % every == 0)
 
 
-def floor_keys(probes: DataFrame, keys: DataFrame, probe: str, key: str, width: int) -> DataFrame:
-    """For each integer probe the greatest key not above it (`floor`, null if none).
+def floor_keys(probes: DataFrame, keys: DataFrame, probe: str, key: str) -> DataFrame:
+    """probes with the greatest key not above each (`floor`): null if there is none, or
+    the probe is null.  Keys and probes are of one orderable type, bytes included.
 
-    Keys and probes meet in buckets of `width`; what lies in earlier buckets is a
-    running maximum over one row for each bucket that has keys or probes.
+    Keys and distinct probes are dealt to ranges cut by a bounded sample of keys; each
+    range takes a running maximum, and what earlier ranges hold is one row a range.
     """
-    bucket = lambda c: F.floor(F.col(c) / width)
-    asked = probes.withColumn("_bucket", bucket(probe))
-    held = keys.select(F.col(key).alias("_key"), bucket(key).alias("_bucket"))
-    tops = held.groupBy("_bucket").agg(F.max("_key").alias("_top")).join(asked.select("_bucket").distinct(), "_bucket", "full_outer")
-    earlier = tops.withColumn("_earlier", F.max("_top").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)))
-    near = asked.join(held, "_bucket").where(F.col("_key") <= F.col(probe)).groupBy(probe).agg(F.max("_key").alias("_near"))
-    out = asked.join(near, probe, "left").join(earlier.select("_bucket", "_earlier"), "_bucket", "left")
-    return out.select(*probes.columns, F.coalesce("_near", "_earlier").alias("floor"))
+    place = _range_of(keys, key)
+    asked = probes.select(F.col(probe).alias("_at"), F.lit(None).alias("_key")).where("_at is not null").distinct()
+    held = keys.select(F.col(key).alias("_at"), F.col(key).alias("_key")).where("_at is not null")
+    both = held.unionByName(asked).withColumn("_range", place("_at"))
+    upto = Window.partitionBy("_range").orderBy("_at", F.col("_key").asc_nulls_last())
+    near = both.withColumn("_near", F.max("_key").over(upto)).where(F.col("_key").isNull())
+    # a row for each range: one more than cuts at most
+    tops = both.groupBy("_range").agg(F.max("_key").alias("_top"))
+    earlier = tops.select("_range", F.max("_top").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)).alias("_earlier"))
+    floors = near.join(F.broadcast(earlier), "_range").select(F.col("_at").alias(probe), F.coalesce("_near", "_earlier").alias("floor"))
+    return probes.join(floors, probe, "left").select(*probes.columns, "floor")

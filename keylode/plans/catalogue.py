@@ -7,7 +7,7 @@ one of three sources in precedence order.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -146,7 +146,7 @@ def filter_all(spark: SparkSession, sf: str) -> DataFrame:
 @query("select o_orderkey, o_totalprice, row_number() over (order by o_orderkey) as pos from orders order by o_orderkey limit 10")
 def sorted_first_n(spark: SparkSession, sf: str) -> DataFrame:
     first = _read(spark, sf, "orders").select("o_orderkey", "o_totalprice").orderBy("o_orderkey").limit(10)
-    return scan.positions(first, "o_orderkey")
+    return first.withColumn("pos", F.row_number().over(Window.orderBy("o_orderkey")).cast("long"))
 
 
 @query("select c_custkey, pos from (select c_custkey, row_number() over (order by c_custkey) as pos from customer) where (pos - 1) % 64 = 0")
@@ -160,7 +160,7 @@ select c_custkey, (select max(key) from k where key <= c_custkey) as floor from
 """)
 def sparse_floor(spark: SparkSession, sf: str) -> DataFrame:
     customer = _read(spark, sf, "customer").select("c_custkey")
-    return scan.floor_keys(customer, customer.where("c_custkey % 64 = 0").withColumnRenamed("c_custkey", "key"), "c_custkey", "key", 64)
+    return scan.floor_keys(customer, customer.where("c_custkey % 64 = 0").withColumnRenamed("c_custkey", "key"), "c_custkey", "key")
 
 
 @query("""
@@ -296,10 +296,17 @@ def json_raw_value(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("c_custkey", keys.json_raw_field("id")("line").alias("id"), keys.json_raw_field("value")("line").alias("value")).where("id is not null")
 
 
-@query()
+#: Records whose value changed after its checksum was stored cut their segment.
+@query("""
+with b as (select event_id // 100 as seg, min(event_id) as bad from events where event_id % 499 = 0 group by 1)
+select cast(event_id // 100 as int) as seg, count(*) as records, max(event_id) as last_seq
+from events left join b on event_id // 100 = seg where bad is null or event_id < bad group by 1
+""")
 def crc_integrity(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _log(spark, sf)
-    return rows.select("seq", log.checksum("key", "value").alias("crc"))
+    stored = _log(spark, sf).withColumn("ts_ns", F.col("seq")).withColumn("crc", log.record_crc())
+    damaged = stored.withColumn("value", F.when(F.col("seq") % 499 == 0, F.concat("value", F.lit(" "))).otherwise(F.col("value")))
+    whole = log.intact(damaged, ~log.sound())
+    return whole.groupBy("seg").agg(F.count("*").alias("records"), F.max("seq").alias("last_seq"))
 
 
 @query("""

@@ -7,24 +7,26 @@ later writes don't show in it.
 
 from __future__ import annotations
 
+import json
 import time
 import uuid
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass, field, replace
 from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keylode.errors import Closed, EmptyKey, InvalidLine, NoLineKey, NotFound, checked_key
+from keylode.errors import Closed, Corrupt, EmptyKey, InvalidLine, NoLineKey, NotFound, checked_key
 from keylode.files import Files
 from keylode.functions.keys import JsonCodec, JsonLineCodec
 from keylode.operators import log, scan
-from keylode.plans.latest import latest
+from keylode.plans.latest import latest, replayed
 from keylode.sources import lines
 
-LOG = T.StructType().add("key", "binary").add("value", "binary").add("tombstone", "boolean").add("ts_ns", "long").add("seg", "integer").add("seq", "long")
+LOG = T.StructType().add("key", "binary").add("value", "binary").add("tombstone", "boolean").add("ts_ns", "long").add("seg", "integer").add("seq", "long").add("crc", "long")
+LIVE = T.StructType().add("key", "binary").add("value", "binary").add("ts_ns", "long").add("seg", "integer").add("seq", "long")
 
 
 class Reader(Protocol):
@@ -45,19 +47,45 @@ def _bytes(x: bytes | str) -> bytes:
 
 @dataclass(frozen=True)
 class Options:
-    """Defaults stand in for values of 0 or less; a ratio over 1 is refused."""
+    """Defaults stand in for values of 0 or less; a ratio over 1 is refused.
+
+    sync_on_write: each put and delete is a batch of its own.  snapshot: close() writes
+    the live records, so that the next open replays only what was logged after them."""
 
     segment_bytes: int = 0
     dead_ratio: float = 0.0
+    sync_on_write: bool = False
+    snapshot: bool = True
 
     def checked(self) -> Options:
         if self.dead_ratio > 1:
             raise ValueError("dead_ratio is over 1")
-        return Options(self.segment_bytes if self.segment_bytes > 0 else 64 << 20, self.dead_ratio if self.dead_ratio > 0 else 0.5)
+        return replace(self, segment_bytes=self.segment_bytes if self.segment_bytes > 0 else 64 << 20, dead_ratio=self.dead_ratio if self.dead_ratio > 0 else 0.5)
+
+
+@dataclass
+class _State:
+    """What a log store's state file says.  A part is [folder, first and last segment,
+    last order]; snapshot is [folder, order up to which it holds], or nothing; old names
+    folders that the last change replaced."""
+
+    parts: list[list] = field(default_factory=list)
+    seq: int = 0
+    seg: int = 0
+    fill: int = 0
+    snapshot: list = field(default_factory=list)
+    old: list[str] = field(default_factory=list)
 
 
 class LogStore:
-    """Key to bytes: an append-only log of puts and tombstones, last write wins."""
+    """Key to bytes: an append-only log of puts and tombstones, last write wins.
+
+    A batch is a folder that the state file names once it is whole; a crash before that
+    leaves the state as it was.  Opening checks the checksums of what no snapshot holds:
+    a record that doesn't match ends its segment there, others stay whole.  A snapshot
+    that is missing, or newer than the log, isn't used: the whole log is.  Folders that
+    a change replaces stay until the next change, for those who still read them.
+    """
 
     def __init__(self, spark: SparkSession, path: str, options: Options = Options()):
         self.options = options.checked()
@@ -65,16 +93,54 @@ class LogStore:
         self._buffer: list[tuple] = []
         self._open = True
         self._read_state()
+        self._recover()
 
     def _read_state(self) -> None:
         name = f"{self.path}/state.json"
-        state = self.files.read_json(name) if self.files.exists(name) else {"parts": [], "seq": 0, "seg": 0, "fill": 0}
-        self._parts, self._seq, self._seg, self._fill = state["parts"], state["seq"], state["seg"], state["fill"]
+        try:
+            self._state = _State(**self.files.read_json(name)) if self.files.exists(name) else _State()
+        except (ValueError, TypeError) as e:
+            raise Corrupt(name) from e
+        s = self._state
+        if s.snapshot and (s.snapshot[1] > s.seq or not self.files.exists(f"{self.path}/{s.snapshot[0]}/_SUCCESS")):
+            s.snapshot = []
 
     def _save(self) -> None:
-        import json
+        self.files.put(f"{self.path}/state.json", json.dumps(asdict(self._state)).encode())
 
-        self.files.put(f"{self.path}/state.json", json.dumps({"parts": self._parts, "seq": self._seq, "seg": self._seg, "fill": self._fill}).encode())
+    def _replace(self, gone: list[str]) -> None:
+        """Name the new state; what the change before this one replaced goes now."""
+        before, self._state.old = self._state.old, gone
+        self._save()
+        for name in before:
+            self.files.delete(f"{self.path}/{name}")
+
+    def _read(self, parts: list[list]) -> DataFrame:
+        if not parts:
+            return self.spark.createDataFrame([], LOG)
+        return self.spark.read.schema(LOG).parquet(*(f"{self.path}/{p[0]}" for p in parts))
+
+    def _write(self, rows: DataFrame) -> list[list]:
+        """rows as a part; none if there are none."""
+        name = f"log-{uuid.uuid4().hex}"
+        rows.write.parquet(f"{self.path}/{name}")
+        held = self._read([[name]]).agg(F.min("seg"), F.max("seg"), F.max("seq")).first()
+        return [] if held[0] is None else [[name, *held]]
+
+    def _tail(self) -> list[list]:
+        """The parts that hold more than the snapshot."""
+        s = self._state
+        return [p for p in s.parts if not s.snapshot or p[3] > s.snapshot[1]]
+
+    def _recover(self) -> None:
+        tail = self._tail()
+        if not tail or not self._read(tail).where(~log.sound()).limit(1).collect():
+            return
+        # the segments that are cut may begin in parts before: only their tail is checked
+        s, kept = self._state, self._write(log.intact(self._read(tail), ~log.sound()).select(LOG.names))
+        s.parts = [p for p in s.parts if p not in tail] + kept
+        s.seg, s.fill = s.seg + 1, 0
+        self._replace([p[0] for p in tail])
 
     def _check(self) -> None:
         if not self._open:
@@ -84,11 +150,14 @@ class LogStore:
         size = log.HEADER + len(key) + len(value or b"")
         if size > self.options.segment_bytes:
             raise ValueError("the record is larger than a segment")
-        if self._fill + size > self.options.segment_bytes:
-            self._seg, self._fill = self._seg + 1, 0
-        self._fill += size
-        self._seq += 1
-        self._buffer.append((bytearray(key), None if value is None else bytearray(value), value is None, time.time_ns(), self._seg, self._seq))
+        s, now = self._state, time.time_ns()
+        if s.fill + size > self.options.segment_bytes:
+            s.seg, s.fill = s.seg + 1, 0
+        s.fill += size
+        s.seq += 1
+        self._buffer.append((bytearray(key), None if value is None else bytearray(value), value is None, now, s.seg, s.seq, log.crc_of(key, value, now, s.seq)))
+        if self.options.sync_on_write:
+            self.sync()
 
     def put(self, key: bytes | str, value: bytes | str) -> None:
         self._check()
@@ -104,25 +173,45 @@ class LogStore:
         if self._buffer:
             part = f"log-{uuid.uuid4().hex}"
             self.spark.createDataFrame(self._buffer, LOG).write.parquet(f"{self.path}/{part}")
-            self._parts.append(part)
+            self._state.parts.append([part, self._buffer[0][4], self._buffer[-1][4], self._buffer[-1][5]])
             self._buffer = []
             self._save()
 
     def log(self) -> DataFrame:
-        """All records."""
+        """All records that weren't compacted away."""
         self.sync()
-        if not self._parts:
-            return self.spark.createDataFrame([], LOG)
-        return self.spark.read.schema(LOG).parquet(*(f"{self.path}/{p}" for p in self._parts))
+        return self._read(self._state.parts)
+
+    def replay(self, keep: Column | None = None) -> DataFrame:
+        """The live records: of the snapshot and the log after it, or of the whole log.
+        keep chooses keys and reaches the scans."""
+        self.sync()
+        s, keep = self._state, F.lit(True) if keep is None else keep
+        tail = self._read(self._tail()).where(keep).select(*LIVE.names, "tombstone")
+        if not s.snapshot:
+            return latest(tail, "key", ["seq"], LIVE.names[1:], F.col("tombstone"))
+        held = self.spark.read.schema(LIVE).parquet(f"{self.path}/{s.snapshot[0]}").where(keep).withColumn("tombstone", F.lit(False))
+        return replayed(held, tail.where(F.col("seq") > s.snapshot[1]), "key", ["seq"], F.col("tombstone")).select(LIVE.names)
 
     def latest(self) -> DataFrame:
-        return latest(self.log(), "key", ["seq"], ["value", "ts_ns", "seg", "seq"], F.col("tombstone"))
+        return self.replay()
+
+    def snapshot(self) -> None:
+        """Write the live records, unless nothing was logged since the last snapshot."""
+        self.sync()
+        s = self._state
+        if not s.parts or s.snapshot and s.snapshot[1] == s.seq:
+            return
+        name, gone = f"snap-{uuid.uuid4().hex}", s.snapshot[:1]
+        self.replay().write.parquet(f"{self.path}/{name}")
+        s.snapshot = [name, s.seq]
+        self._replace(gone)
 
     def get(self, key: bytes | str) -> bytes:
         self._check()
         own = checked_key(key)
         # only the key's records are reduced: the filter reaches the scan
-        found = latest(self.log().where(F.col("key") == F.lit(own)), "key", ["seq"], ["value"], F.col("tombstone")).collect()
+        found = self.replay(F.col("key") == F.lit(own)).select("value").collect()
         if not found:
             raise NotFound(key)
         return bytes(found[0]["value"])
@@ -130,12 +219,12 @@ class LogStore:
     def has(self, key: bytes | str) -> bool:
         self._check()
         own = checked_key(key)
-        return bool(latest(self.log().where(F.col("key") == F.lit(own)), "key", ["seq"], [], F.col("tombstone")).limit(1).collect())
+        return bool(self.replay(F.col("key") == F.lit(own)).select("key").limit(1).collect())
 
     def scan(self, prefix: bytes | str = b"", ordered: bool = False, reverse: bool = False) -> DataFrame:
         self._check()
-        rows = self.log().where(scan.has_prefix("key", _bytes(prefix), T.BinaryType()))
-        return scan.scan(latest(rows, "key", ["seq"], ["value"], F.col("tombstone")), "key", b"", ordered, reverse)
+        rows = self.replay(scan.has_prefix("key", _bytes(prefix), T.BinaryType()))
+        return scan.scan(rows.select("key", "value"), "key", b"", ordered, reverse)
 
     def all(self, prefix: bytes | str = b"", ordered: bool = False, reverse: bool = False) -> Iterator[tuple[bytes, bytes]]:
         return ((bytes(r["key"]), bytes(r["value"])) for r in self.scan(prefix, ordered, reverse).toLocalIterator())
@@ -147,22 +236,34 @@ class LogStore:
         self._check()
         return log.store_stats(self.log()).first().asDict()
 
-    def compact(self) -> None:
-        """Rewrite the log without overwritten records of segments that are dead enough."""
+    def compact(self) -> int:
+        """Rewrite the parts that hold segments which are dead enough, without overwritten
+        records of those; other parts aren't written again.  The number of such parts."""
         self._check()
-        rows = self.log()
-        if not self._parts:
-            return
-        part, old = f"log-{uuid.uuid4().hex}", self._parts
-        log.compacted(rows, self.options.dead_ratio).write.parquet(f"{self.path}/{part}")
-        self._parts = [part]
-        self._save()
-        for p in old:
-            self.files.delete(f"{self.path}/{p}")
+        rows, s = self.log(), self._state
+        if not s.parts:
+            return 0
+        chosen = log.compaction_candidates(rows, self.options.dead_ratio, self.options.segment_bytes).select("seg").persist()
+        try:
+            # names that the state lists anyway
+            place = F.regexp_extract(F.col("_metadata.file_path"), "/(log-[0-9a-f]+)/[^/]*$", 1)
+            names = {r[0] for r in rows.select("seg", place.alias("part")).join(chosen, "seg", "left_semi").select("part").distinct().collect()}
+            touched = [p for p in s.parts if p[0] in names]
+            if touched:
+                held, ends = self._read(touched), rows.groupBy("key").agg(F.max("seq").alias("seq"))
+                last = held.join(chosen, "seg", "left_semi").join(ends, ["key", "seq"], "left_semi").select(LOG.names)
+                kept = self._write(held.join(chosen, "seg", "left_anti").select(LOG.names).unionByName(last))
+                s.parts = [p for p in s.parts if p[0] not in names] + kept
+                self._replace([p[0] for p in touched])
+            return len(touched)
+        finally:
+            chosen.unpersist()
 
     def close(self) -> None:
         if self._open:
             self.sync()
+            if self.options.snapshot:
+                self.snapshot()
             self._open = False
 
 
@@ -203,9 +304,8 @@ class LineStore:
         """Append the buffered lines; a last line without its end is ended first."""
         self._check()
         if self._buffer:
-            before = self.files.read(self.path)
-            seal = b"\n" if before and not before.endswith(b"\n") else b""
-            self.files.put(self.path, before + seal + b"".join(x + b"\n" for x in self._buffer))
+            seal = b"\n" if self.files.last_byte(self.path) not in (b"", b"\n") else b""
+            self.files.append(self.path, seal + b"".join(x + b"\n" for x in self._buffer))
             self._buffer = []
 
     def table(self) -> DataFrame:
@@ -289,13 +389,9 @@ class Bucket:
         return (self.prefix + key).encode()
 
     def put(self, key: str, value: dict) -> None:
-        import json
-
         self.store.put(self._key(key), json.dumps(value, ensure_ascii=False, separators=(",", ":")).encode())
 
     def get(self, key: str) -> dict:
-        import json
-
         return json.loads(self.store.get(self._key(key)))
 
     def has(self, key: str) -> bool:
