@@ -36,6 +36,24 @@ def test_positions_do_not_depend_on_partitions(spark, parts):
     assert found == {k: i + 1 for i, k in enumerate(sorted(found))}
 
 
+@pytest.mark.parametrize("kind", ["long", "binary", "string"])
+@pytest.mark.parametrize("count", [0, 1, 400])
+def test_floor_keys(spark, kind, count):
+    from keylode.operators.scan import floor_keys
+
+    as_kind = f"cast({'cast(lpad(id, 5, 0) as string)' if kind != 'long' else 'id'} as {kind})"
+    held = spark.range(count).selectExpr("id * 37 % 1009 as id").selectExpr(f"{as_kind} as k").union(spark.sql(f"select cast(null as {kind}) as k"))
+    asked = spark.range(1100).union(spark.range(5, 8)).selectExpr(f"{as_kind} as p", "id as n").union(spark.sql(f"select cast(null as {kind}) as p, -1L as n"))
+    found = sorted(((r["n"], r["floor"]) for r in floor_keys(asked, held, "p", "k").collect()), key=lambda x: x[0])
+    plain = sorted(i * 37 % 1009 for i in range(count))
+    own = (lambda x: x) if kind == "long" else (lambda x: f"{x:05d}") if kind == "string" else (lambda x: bytearray(f"{x:05d}".encode()))
+    want = [(-1, None)]
+    for n in sorted([*range(1100), 5, 6, 7]):
+        below = [x for x in plain if x <= n]
+        want.append((n, own(below[-1]) if below else None))
+    assert found == want
+
+
 def test_prefix_reaches_the_scan(spark, tmp_path):
     from keylode.operators.scan import scan
 

@@ -1,5 +1,6 @@
 import json
 import random
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -11,22 +12,38 @@ from keylode import errors
 from keylode.functions import keys
 from keylode.operators import log, scan
 from keylode.plans.latest import latest
-from keylode.pool import Pool, checked_name
+from keylode.pool import LineManager, LogManager, Pool, SortedManager, checked_name, stats_frame
 from keylode.runtime import ship
 from keylode.sources import lines, sorted_table
 from keylode.stores import Bucket, LineFileStore, LineStore, LogStore, Options
 
-JSON_LINES = [
-    ('{"id":"a"}', b"a"), ('{"v":1,"id":"later"}', b"later"), ('{"nested":{"id":"inner"},"id":"outer"}', b"outer"),
-    ('{"arr":[{"id":"x"},2,[3]],"id":"after-arr"}', b"after-arr"), ('{"id":"a","extra":"ignored"}', b"a"), ('{"id":"x","id":"y"}', b"x"),
-    *((x, None) for x in ('{"v":1}', '{"id":42}', '{"id":""}', '{"id":"a"', '["id","a"]', '"id"', "not json at all", "", '{"outer":{"id":"x"}}', '{"id":"a"} trailing', "{'id':'q'}", '{"ID":"a"}', '{"id":null}', '{"id":NaN}')),
-]
+FIELDS = st.sampled_from(["id", "ID", "a", "b c", "é"])
+PLAIN = st.one_of(st.none(), st.booleans(), st.integers(), st.text(max_size=6))
+VALUES = st.recursive(PLAIN, lambda x: st.lists(x, max_size=3) | st.dictionaries(FIELDS, x, max_size=3), max_leaves=6)
 
 
-@pytest.mark.parametrize(("line", "key"), JSON_LINES)
-def test_json_key(line, key):
-    assert keys.parse_key(line, "id") == key
-    assert keys.parse_key(line.encode(), "id") == key
+@given(st.lists(st.tuples(FIELDS, VALUES), max_size=5), st.sampled_from([(",", ":"), (" , ", " : ")]))
+@settings(max_examples=300, deadline=None)
+def test_key_of_an_object_is_its_first_field_of_that_name(members, seps):
+    # members are written one by one, so names may repeat
+    line = "{" + seps[0].join(json.dumps(k) + seps[1] + json.dumps(v) for k, v in members) + "}"
+    first = next((v for k, v in members if k == "id"), None)
+    want = first.encode() if isinstance(first, str) and first else None
+    assert keys.parse_key(line, "id") == want and keys.parse_key(line.encode(), "id") == want
+    last = [v for k, v in members if k == "id"][-1:]
+    found = keys.raw_field(line, "id")
+    assert [found] == ([json.dumps(v) for v in last] or [None])
+
+
+@given(st.dictionaries(FIELDS, VALUES, max_size=3), st.integers(0, 200), st.text(" x}1", min_size=1, max_size=3))
+@settings(max_examples=300, deadline=None)
+def test_no_key_in_what_is_not_one_object(others, cut, more):
+    line = json.dumps({"id": "k", **{k: v for k, v in others.items() if k != "id"}})
+    assert keys.parse_key(line, "id") == b"k"
+    assert keys.parse_key(line[: cut % len(line)], "id") is None
+    assert keys.parse_key(line + more, "id") == (None if more.strip() else b"k")
+    for whole in (f"[{line}]", json.dumps(line), line.replace('"', "'"), line[:-1] + ',"z":NaN}'):
+        assert keys.parse_key(whole, "id") is None
 
 
 @pytest.mark.parametrize("value", ["[1,2,3]", '"a string"', "42", "true", "null", '{"b": 1.50,  "a":2}'])
@@ -108,6 +125,92 @@ def test_log_store(spark, tmp_path):
     assert dict(LogStore(spark, path).all()) == model
 
 
+def _parts(path):
+    return sorted(p.name for p in path.iterdir() if p.is_dir())
+
+
+def test_a_snapshot_spares_the_log_before_it(spark, tmp_path):
+    home = tmp_path / "db"
+    db = LogStore(spark, str(home))
+    for i in range(6):
+        db.put(f"k{i}", f"v{i}")
+    db.close()
+    db = LogStore(spark, str(home))
+    db.put("k0", "new")
+    db.delete("k1")
+    want = {b"k0": b"new"} | {f"k{i}".encode(): f"v{i}".encode() for i in range(2, 6)}
+    db.sync()
+    assert db._state.snapshot[1] == 6 and len(db._tail()) == 1
+    assert dict(db.all()) == want and db.get("k0") == b"new" and not db.has("k1") and db.get("k5") == b"v5"
+    # without the folder, the whole log is replayed
+    (home / db._state.snapshot[0] / "_SUCCESS").unlink()
+    again = LogStore(spark, str(home))
+    assert not again._state.snapshot and dict(again.all()) == want
+    again.close()
+    assert again._state.snapshot[1] == 8
+    plain = LogStore(spark, str(tmp_path / "plain"), Options(snapshot=False))
+    plain.put("a", "1")
+    plain.close()
+    assert not any(p.startswith("snap") for p in _parts(tmp_path / "plain"))
+
+
+def test_a_record_that_differs_from_its_checksum_ends_its_segment(spark, tmp_path):
+    home = tmp_path / "db"
+    db = LogStore(spark, str(home), Options(segment_bytes=100, snapshot=False))
+    for i in range(12):
+        db.put(f"k{i:02d}", "v" * 10)
+    db.close()
+    segs = {r["seq"]: r["seg"] for r in LogStore(spark, str(home)).log().collect()}
+    rows = db._read(db._state.parts)
+    hurt = rows.withColumn("value", F.when(F.col("seq") == 6, F.lit(b"w" * 10)).otherwise(F.col("value")))
+    hurt.write.parquet(str(home / "hurt"))
+    state = json.loads((home / "state.json").read_text())
+    state["parts"][0][0] = "hurt"
+    (home / "state.json").write_text(json.dumps(state))
+    kept = {r["seq"] for r in LogStore(spark, str(home)).log().collect()}
+    assert kept == {q for q, g in segs.items() if g != segs[6] or q < 6} and 6 not in kept
+    after = LogStore(spark, str(home))
+    after.put("k05", "again")
+    assert after.get("k05") == b"again" and {r["seq"] for r in after.log().collect()} == kept | {13}
+
+
+def test_checksums_agree_and_tell_fields_apart(spark):
+    given_ = [(b"ab", b"c", 1, 1), (b"a", b"bc", 1, 1), (b"a", None, 1, 1), (b"a", b"", 1, 1), (b"a", b"", 2, 1), (b"\xff\x00", b"\x80" * 70, 5, 9)]
+    rows = spark.createDataFrame([(bytearray(k), None if v is None else bytearray(v), v is None, t, q, i) for i, (k, v, t, q) in enumerate(given_)], "key binary, value binary, tombstone boolean, ts_ns long, seq long, i int")
+    found = [r[0] for r in rows.orderBy("i").select(log.record_crc()).collect()]
+    assert found == [log.crc_of(*x) for x in given_] and len(set(found)) == len(found)
+
+
+def test_compaction_rewrites_candidates_only(spark, tmp_path):
+    home = tmp_path / "db"
+    db = LogStore(spark, str(home), Options(segment_bytes=120, sync_on_write=True))
+    for k in ("a", "a", "a", "a", "b", "c", "d", "e"):
+        db.put(k, "x" * 10)
+    before = dict(db.all())
+    parts = [p[0] for p in db._state.parts]
+    assert len(parts) == 8 and db.compact() == 3
+    kept = [p[0] for p in db._state.parts]
+    assert set(kept) & set(parts) == set(parts[3:]) and dict(db.all()) == before
+    assert set(parts) <= set(_parts(home))  # readers of the old parts can end
+    db.close()
+    assert not set(parts[:3]) & set(_parts(home)) and dict(LogStore(spark, str(home)).all()) == before
+
+
+def test_put_replaces_in_one_step(spark, tmp_path, monkeypatch):
+    from keylode.files import Files
+
+    files, name = Files(spark), str(tmp_path / "f")
+    files.put(name, b"old")
+    monkeypatch.setattr(Files, "_over", lambda *_: (_ for _ in ()).throw(KeyboardInterrupt))
+    with pytest.raises(KeyboardInterrupt):
+        files.put(name, b"new")
+    assert files.read(name) == b"old"
+    monkeypatch.undo()
+    files.put(name, b"new")
+    files.append(name, b"er")
+    assert files.read(name) == b"newer" and files.last_byte(name) == b"r"
+
+
 def test_dead_bytes_of_an_overwrite(spark):
     rows = spark.createDataFrame([("k1", "v1", False, 0, 1), ("k2", "v2", False, 0, 2), ("k1", "v1b", False, 0, 3)], "key string, value string, tombstone boolean, seg int, seq long")
     assert log.store_stats(rows).first().asDict() == {"keys": 2, "segments": 1, "dead_bytes": 25}
@@ -212,19 +315,36 @@ def test_empty_sources_keep_the_schema(spark, tmp_path):
         sorted_table.build(spark, [str(tmp_path / "absent")], CSV, str(tmp_path / "t"))
 
 
-S = lambda p, size=1, m=1: {"path": p, "size": size, "mtime_ns": m}
-
-
-@pytest.mark.parametrize(
-    ("recorded", "current", "what"),
-    [
-        ([S("a")], [S("a")], "fresh"), ([S("a")], [S("a"), S("b")], "refresh"), ([S("a")], [S("a"), S("b"), S("c")], "refresh"),
-        ([S("a"), S("b")], [S("a")], "rebuild"), ([S("a")], [S("a", 2), S("b")], "rebuild"), ([S("a")], [S("a", 1, 2), S("b")], "rebuild"),
-        ([S("a"), S("b")], [S("b"), S("a"), S("c")], "rebuild"), ([], [S("a")], "rebuild"),
-    ],
-)
-def test_decide(recorded, current, what):
-    assert sorted_table.decide(recorded, current) == what
+SOURCES = st.lists(st.fixed_dictionaries({"path": st.sampled_from("pqrs"), "size": st.integers(0, 2), "mtime_ns": st.integers(0, 2)}), max_size=4)
+
+
+@given(SOURCES, SOURCES)
+@settings(max_examples=300, deadline=None)
+def test_decide(recorded, more):
+    assert sorted_table.decide(recorded, recorded) == "fresh"
+    if more:
+        assert sorted_table.decide(recorded, recorded + more) == ("refresh" if recorded else "rebuild")
+        assert sorted_table.decide(recorded + more, recorded) == "rebuild"
+    for i, one in enumerate(recorded):
+        for name in ("size", "mtime_ns"):
+            changed = [*recorded[:i], {**one, name: one[name] + 1}, *recorded[i + 1 :]]
+            assert sorted_table.decide(recorded, changed + more) == "rebuild"
+    if recorded[::-1] != recorded:
+        assert sorted_table.decide(recorded, recorded[::-1] + more) == "rebuild"
+
+
+def test_refresh_does_not_read_sources_it_has(spark, tmp_path, monkeypatch):
+    for name, text in (("one", "a,1\nb,1\n"), ("two", "b,2\n")):
+        (tmp_path / name).write_text(text)
+    one, two, out = str(tmp_path / "one"), str(tmp_path / "two"), str(tmp_path / "t")
+    sorted_table.build(spark, [one], CSV, out)
+    read, real = [], lines.sources
+    monkeypatch.setattr(lines, "sources", lambda spark, paths, key, first=0: (read.extend(paths), real(spark, paths, key, first))[1])
+    table = sorted_table.ensure_fresh(spark, [one, two], out, CSV)
+    assert read == [two] and dict(table.rows()) == {b"a": b"a,1", b"b": b"b,2"}
+    (tmp_path / "one").unlink()
+    with pytest.raises(FileNotFoundError):
+        sorted_table.ensure_fresh(spark, [one, two], out, CSV)
 
 
 class _Thing:
@@ -248,9 +368,10 @@ def test_pool():
     assert pool.stats()[0]["refs"] == 0
     with pytest.raises(errors.Closed):
         _ = h.resource
+    now[0] = 659
     pool.sweep()
-    assert not thing.closed
-    now[0] = 661
+    assert not thing.closed and pool.stats()[0]["idle_s"] == 59
+    now[0] = 660
     pool.sweep()
     assert thing.closed and pool.acquire("x").resource is not thing
     pool.close()
@@ -260,6 +381,36 @@ def test_pool():
         pool.close()
 
 
+def test_a_thread_closes_what_is_idle():
+    pool = Pool(lambda name: _Thing(), idle_s=0.01, sweep_s=0.02)
+    with pool.acquire("x") as thing:
+        pass
+    end = time.monotonic() + 10
+    while not thing.closed and time.monotonic() < end:
+        time.sleep(0.01)
+    assert thing.closed
+    pool.close()
+
+
+def test_managers(spark, tmp_path):
+    logs = LogManager(spark, str(tmp_path / "logs"))
+    with logs.acquire("x") as db:
+        db.put("k", "v")
+    logs.close()
+    assert LogStore(spark, str(tmp_path / "logs/x")).get("k") == b"v"
+    files = LineManager(spark, str(tmp_path), keys.before_comma, csv_key)
+    with files.acquire("f") as store:
+        store.put("k,1")
+    files.close()
+    tables = SortedManager(spark, str(tmp_path / "cache"), CSV)
+    with pytest.raises(ValueError):
+        tables.acquire("t", [])
+    with tables.acquire("t", [str(tmp_path / "f")]) as table:
+        assert table.get("k") == b"k,1"
+    assert stats_frame(spark, tables).where("open and refs = 0 and idle_s >= 0").count() == 1
+    tables.close()
+
+
 @pytest.mark.parametrize("name", ["", ".", "..", "a/b", "a\\b", "a\0b"])
 def test_names(name):
     with pytest.raises(ValueError):
