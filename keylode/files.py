@@ -9,6 +9,10 @@ import uuid
 from pyspark.sql import SparkSession
 
 
+#: Stores that replace a file by a rename in one step.
+RENAMING = ("file", "hdfs", "viewfs")
+
+
 class Files:
     def __init__(self, spark: SparkSession):
         self.gateway = spark.sparkContext._gateway
@@ -44,9 +48,10 @@ class Files:
             stream.close()
 
     def put(self, name: str, data: bytes) -> None:
-        """Written aside, then renamed over in one step: readers see the old or the new
-        file.  An object store's rename is a copy, so there only the copy is one step."""
-        aside, system = f"{name}.{uuid.uuid4().hex}.new", self.system(name)
+        """Readers see the old or the new file: where a rename is one step, data is written
+        aside and renamed over; other stores, object stores, show a file once it is whole."""
+        system = self.system(name)
+        aside = f"{name}.{uuid.uuid4().hex}.new" if system.getUri().getScheme() in RENAMING else name
         system.setWriteChecksum(False)  # a local checksum file would forbid edits by other tools
         try:
             stream = system.create(self.path(aside), True)
@@ -54,7 +59,8 @@ class Files:
             stream.close()
         finally:
             system.setWriteChecksum(True)
-        self._over(aside, name)
+        if aside != name:
+            self._over(aside, name)
 
     def _over(self, aside: str, name: str) -> None:
         old, new, system = self.path(name), self.path(aside), self.system(name)
