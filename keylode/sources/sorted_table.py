@@ -33,11 +33,11 @@ _LOCKS: dict[str, threading.Lock] = defaultdict(threading.Lock)
 
 @dataclass(frozen=True)
 class Options:
-    """bloom_fpr: 0 means 1 %, negative none.  sparse_interval: rows that one row group
-    is meant to hold.  chunk_entries has no effect: Spark sorts and spills by itself."""
+    """bloom_fpr: 0 means 1 %, negative none.  sparse_interval: most rows of one row
+    group, the least that a lookup reads; 0 leaves groups to Parquet's block size.  chunk_entries has no effect: Spark sorts and spills by itself."""
 
     bloom_fpr: float = 0.0
-    sparse_interval: int = 4096
+    sparse_interval: int = 0
     chunk_entries: int = 0
 
     @property
@@ -87,9 +87,15 @@ def _write(spark: SparkSession, rows: DataFrame, path: str, stats: list[dict], k
     before = _manifest_or_none(spark, path)
     version = f"v-{uuid.uuid4().hex}"
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    out = rows.select(*(F.col(f.name).cast(f.dataType) for f in SCHEMA)).repartitionByRange(parts, "key").sortWithinPartitions("key").write
+    ranged = rows.select(*(F.col(f.name).cast(f.dataType) for f in SCHEMA)).repartitionByRange(parts, "key").sortWithinPartitions("key")
+    out = ranged.write
+    if options.sparse_interval > 0:
+        out = out.option("parquet.block.row.count.limit", str(options.sparse_interval))
     if options.rate > 0:
         out = out.option("parquet.bloom.filter.enabled#key", "true").option("parquet.bloom.filter.fpp#key", str(options.rate))
+        # a group's keys are distinct: as many as rows, or sized by what the group holds
+        size = ("parquet.bloom.filter.expected.ndv#key", str(options.sparse_interval)) if options.sparse_interval > 0 else ("parquet.bloom.filter.adaptive.enabled", "true")
+        out = out.option(*size)
     out.parquet(f"{path}/{version}")
     body = {"version": version, "sources": stats, "key": key.name, "options": asdict(options)}
     Files(spark).put(f"{path}/manifest.json", json.dumps({"body": body, "crc32": zlib.crc32(json.dumps(body, sort_keys=True).encode())}).encode())

@@ -306,6 +306,19 @@ def test_sorted_table(spark, tmp_path, json_key):
         sorted_table.SortedTable(spark, out)
 
 
+@pytest.mark.parametrize("interval", [0, 100])
+def test_row_groups_and_misses(spark, tmp_path, interval):
+    import pyarrow.parquet as pq
+
+    (tmp_path / "f").write_text("".join(f"k{i:04d},{i}\n" for i in range(1000)))
+    sorted_table.build(spark, [str(tmp_path / "f")], CSV, str(tmp_path / "t"), sorted_table.Options(sparse_interval=interval))
+    table = sorted_table.SortedTable(spark, str(tmp_path / "t"))
+    meta = [pq.ParquetFile(p).metadata for p in (tmp_path / "t" / table.manifest["version"]).glob("*.parquet")]
+    groups = [m.row_group(i).num_rows for m in meta for i in range(m.num_row_groups)]
+    assert sum(groups) == 1000 and (max(groups) == 100 if interval else len(groups) == len(meta))
+    assert all(table.has(f"k{i:04d}") for i in (0, 99, 100, 999)) and not table.has("k0500x")
+
+
 def test_empty_sources_keep_the_schema(spark, tmp_path):
     (tmp_path / "f").write_bytes(b"nokey\n\n")
     sorted_table.build(spark, [str(tmp_path / "f")], CSV, str(tmp_path / "t"))
