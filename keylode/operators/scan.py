@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from keylode.errors import MAX_KEY
+
 
 def successor(prefix: bytes) -> bytes | None:
     """The least byte string after all that begin with prefix; None if there is none."""
@@ -27,6 +29,22 @@ def has_prefix(column: str, prefix: bytes | str, kind: T.DataType) -> Column:
     return F.col(column).startswith(prefix.decode() if isinstance(prefix, bytes) else prefix)
 
 
+def key_fault(key: str) -> Column:
+    """Why a key can't be stored: 'empty' (null too) or 'too large', counted in bytes;
+    null for a good one."""
+    size = F.octet_length(F.col(key))
+    return F.when(F.coalesce(size, F.lit(0)) == 0, "empty").when(size > MAX_KEY, "too large")
+
+
+def valid_keys(rows: DataFrame, key: str) -> DataFrame:
+    return rows.where(key_fault(key).isNull())
+
+
+def refused_keys(rows: DataFrame, key: str, name: str = "fault") -> DataFrame:
+    """The rows that valid_keys leaves out, with the reason."""
+    return rows.withColumn(name, key_fault(key)).where(F.col(name).isNotNull())
+
+
 def get(table: DataFrame, key: str, value: object) -> DataFrame:
     return table.where(F.col(key) == F.lit(value))
 

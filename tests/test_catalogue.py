@@ -54,6 +54,15 @@ def test_floor_keys(spark, kind, count):
     assert found == want
 
 
+def test_rows_are_kept_or_refused_by_their_key(spark):
+    from keylode.errors import MAX_KEY
+    from keylode.operators.scan import refused_keys, valid_keys
+
+    rows = spark.createDataFrame([(0, "a"), (1, ""), (2, None), (3, "é" * (MAX_KEY // 2 + 1)), (4, "x" * MAX_KEY)], "n int, k string")
+    assert sorted(r["n"] for r in valid_keys(rows, "k").collect()) == [0, 4]
+    assert sorted((r["n"], r["fault"]) for r in refused_keys(rows, "k").collect()) == [(1, "empty"), (2, "empty"), (3, "too large")]
+
+
 def test_prefix_reaches_the_scan(spark, tmp_path):
     from keylode.operators.scan import scan
 
