@@ -8,7 +8,9 @@ below the query's kth score so far; at equality scoring goes on, as ties go to s
 ids.  Every task keeps its best k for each query; the best of those are the result.
 
 Queries are packed into chunks too and sent once to each of the salts that document
-chunks are dealt over; documents move once.  Neither side is broadcast or gathered.
+chunks are dealt over, SALTS at most; documents move once.  Neither side is broadcast or
+gathered: the join is a merge join by hint, since Spark's estimate of the queries' size
+leaves out that they are sent to each salt.
 
 Weights are floor(256 * x).  Products of weights under 2**20 are summed in floating
 point, which is exact; vectors with a larger weight are kept in chunks of their own and
@@ -38,6 +40,8 @@ EVERY, TOP = 50, 5
 CHUNK, QUERIES, BLOCK = 4096, 1024, 128
 #: Weights below this give sums of up to 2**13 products under 2**53.
 EXACT = 2.0**20
+#: Document chunks are dealt over so many salts at most; a query moves once to each.
+SALTS = 96
 #: States of query chunks that a task holds before it hands the oldest on.
 HELD = 128
 
@@ -169,7 +173,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
     as (vec_id, embedding)."""
     spark = vectors.sparkSession
     vectors, queries = (x.select(F.col("vec_id").cast("long"), "embedding") for x in (vectors, queries))
-    salts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    salts = min(SALTS, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     docs = _chunks(vectors, CHUNK, ("ids", "weights")).withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(salts)).cast("int"))
     asked = _chunks(queries, QUERIES, ("query_ids", "query_weights")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
 
@@ -190,7 +194,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
         for best in held.values():
             yield best.rows()
 
-    pairs = docs.join(asked, ["dim", "salt"]).select("dim", "ids_large", "ids", "weights", "query_ids_large", "query_ids", "query_weights")
+    pairs = docs.hint("merge").join(asked.hint("merge"), ["dim", "salt"]).select("dim", "ids_large", "ids", "weights", "query_ids_large", "query_ids", "query_weights")
     found = pairs.mapInArrow(run, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -585,6 +585,14 @@ def test_op9(spark, vectors, monkeypatch):
         assert list(zip(-rows["score"], rows["vec_id"])) == want and rows["rank"].tolist() == list(range(1, len(want) + 1))
 
 
+def test_op9_queries_are_not_broadcast(spark, vectors):
+    """They are sent to every salt, which Spark's estimate of their size leaves out."""
+    frame = spark.createDataFrame([(i, v) for i, v in vectors if i < 600], "vec_id long, embedding array<float>")
+    found = op9_topk.top_k(op9_topk.valid(frame), op9_topk.valid(frame).where("vec_id % 50 = 0"))
+    assert found.count() and len(found.collect()) == 60
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_op9_large_weights(spark):
     r = np.random.default_rng(9)
     x = [(r.normal(size=5) * 10.0 ** r.choice((0, 4, 9, 17, 30))).tolist() for _ in range(120)] + [[1e307] * 5, [-1e307] * 5]
