@@ -8,15 +8,18 @@ with nothing.  Documents with a colliding paragraph are compared, in rounds:
 
 1. every document is compared with one other: of the smallest documents of its keys,
    the one that shares most of them;
-2. with the keys that no passage shared with a smaller document covers, it is compared
-   with each such key's smallest document;
-3. with what is still not covered, it meets further documents of the key: all of them
-   where there are few, else a part that grows with each round (2, 8, 64, 1024, ...),
-   until no key holds documents that weren't compared.  Two documents meet in the first
-   of these rounds if they collide in two bands or more, and in three after that.
+2. of each key's documents that no chain of passages at this place links yet, each is
+   compared with the smallest, then with further ones: all of them where there are few,
+   else a part that grows with each round (2, 8, 64, 1024, ...), until every two are
+   linked by a chain or were compared.
 
-So an earlier document that merely holds words of a passage doesn't hide it, a group of
-copies costs as much as its members, and no key has a cap.
+From the second round on, two documents that a key brings together are compared if the
+paragraphs around it have so many shingles in common as a passage must have there: this
+leaves out chance and short phrases, and no passage.
+
+So an earlier document that merely holds words of a passage doesn't hide it, nor does one
+that shares it with one of two documents only; a group of copies costs as much as its
+members, and no key has a cap.
 
 Passages are read off the full shingle sequences: runs of shingles in the same order
 whose exact Jaccard similarity is 0.75 or more, cut at their widest gaps until it is, and
@@ -27,8 +30,7 @@ together.  Passages are clustered by connected components; one of each component
 
 An exact paragraph collides in a band with probability 0.78 at least (its minimum's key
 lies within it), so in none with about 1e-4; one of 50 words at Jaccard 0.75 with about
-0.5, so in none with 0.016 (and in less than two, where an earlier document hides it,
-with 0.11).  A line of a dozen words that many documents share makes no candidates.  A
+0.5, so in none with 0.016.  A line of a dozen words that many documents share makes no candidates.  A
 document's pairs are compared in blocks of BLOCK, so the text of a centre of many copies
 is sent once for each block.
 
@@ -45,12 +47,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keylode.llm import textvec
 from keylode.llm.components import components
-from keylode.llm.participants import OWN, bounded, one_text, versions
+from keylode.llm.participants import OWN, bounded, one_text, texts_of, versions
 from keylode.llm.memory import settled
 from keylode.llm.work import Work, read
 
@@ -61,8 +63,8 @@ WINDOW = WORDS - K + 1
 PERCENT = 75
 #: Keys of up to so many documents are compared whole in the second round.
 FEW = 8
-#: Bands that two documents must share to meet in the third round, and after it.
-LEAST_BANDS = 2, 3
+#: Bands that two documents must share to meet, in whatever round.
+LEAST_BANDS = 1, 1
 #: Documents that the text of a centre is sent with.
 BLOCK = 64
 #: A passage may lose this many shingles in a row (an edited word costs five).
@@ -393,14 +395,10 @@ def _matches(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return sorted_.mapInArrow(run, ", ".join(f"{n} {kind.simpleString() if n in 'ab' else 'long'}" for n in names))
 
 
-def _keys_left(left: DataFrame, number: int) -> DataFrame:
-    """(key, doc_id, at, centre): the keys of several documents, and the centres of a round."""
+def _keys_left(left: DataFrame) -> DataFrame:
+    """(key, doc_id, at, centre): the keys of several documents; the smallest is a centre."""
     sizes = left.groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1")
-    centre = F.col("doc_id") == F.col("least")
-    if number:
-        part = F.ceil(F.col("n") / 2 ** (number * (number + 1) // 2))
-        centre |= (F.col("n") <= FEW) | (F.pmod(F.xxhash64("doc_id", "key"), part) == 0)
-    return left.join(sizes, "key").select("key", "doc_id", "at", centre.alias("centre"))
+    return left.join(sizes, "key").select("key", "doc_id", "at", (F.col("doc_id") == F.col("least")).alias("centre"))
 
 
 def _met(named: DataFrame) -> DataFrame:
@@ -415,51 +413,170 @@ def _closest(named: DataFrame) -> DataFrame:
     return shared.groupBy("b").agg(F.max(F.struct("n", "a")).alias("most")).select("most.a", "b")
 
 
-def _bands() -> Column:
-    return F.expr("bit_count(bit_or(1 << cast(key & 7 as int)))")
+def _open(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """rows with `linked`, the smaller documents that share a passage with theirs which
+    covers their place, and `least` and `n` of their key among rows that weren't centres;
+    only keys that have several of these and aren't seen to be linked."""
+    spans = found.groupBy(F.col("b").alias("doc_id")).agg(F.collect_set(F.struct(F.col("b_word").alias("lo"), F.col("b_to").alias("hi"), "a")).alias("spans"))
+    linked = F.coalesce(F.expr("array_distinct(transform(filter(spans, s -> at >= s.lo and at < s.hi), s -> s.a))"), F.array().cast(f"array<{rows.schema['doc_id'].dataType.simpleString()}>"))
+    named = rows.join(spans, "doc_id", "left").withColumn("linked", linked).drop("spans")
+    label, waits = F.coalesce(F.array_min("linked"), F.col("doc_id")), F.when(~F.col("done"), F.col("doc_id"))
+    open_ = named.groupBy("key").agg(F.min(waits).alias("least"), F.count(waits).alias("n"), F.min(label).alias("low"), F.max(label).alias("high")).where("n > 1 and low <> high")
+    return named.join(open_.drop("low", "high"), "key")
+
+
+def _distinct_least(sh: np.ndarray) -> int:
+    """At least so many distinct shingles has a passage among these."""
+    if np.unique(sh).size == sh.size:
+        return min(sh.size, LEAST_LENGTH)
+    if sh.size > 1000:
+        return 1
+    return min(np.unique(sh[i : i + LEAST_LENGTH]).size for i in range(max(1, sh.size - LEAST_LENGTH + 1)))
+
+
+def _surroundings(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """key, doc_id, at, need, around: the shingles of all paragraphs of the document that
+    can hold the key, at whatever place (32 bits of each), and how many of them another
+    document must have to share a passage there."""
 
+    @settled
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(held: list[tuple]) -> pa.RecordBatch:
+            columns = list(zip(*held, strict=True)) or [()] * 5
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), kind, pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["key", "doc_id", "at", "need", "around"])
+
+        for batch in batches:
+            kind, held = batch.schema.field("doc_id").type, []
+            for part in textvec.parts(batch, "text", 200):
+                for doc, own, text in zip(part.column("doc_id").to_pylist(), part.column("own").to_pylist(), _texts(part.column("text")), strict=True):
+                    sh = text.shingles
+                    run_at = _runs_around(sh, np.arange(sh.size - 2 * AROUND) + AROUND, np.int64(0), np.int64(sh.size))
+                    order = np.argsort(run_at, kind="stable")
+                    ranked = run_at[order]
+                    seen: dict[int, tuple[int, bytes]] = {}
+                    for row in own:
+                        first = min(max(row["at"] - AROUND, 0), sh.size - 2 * AROUND - 1)
+                        if first not in seen:
+                            lo, hi = np.searchsorted(ranked, run_at[first]), np.searchsorted(ranked, run_at[first], side="right")
+                            if hi - lo == 1:
+                                near = sh[max(0, first - WINDOW + 1) : first + 2 * AROUND + WINDOW]
+                            else:
+                                step = np.zeros(sh.size + 1, np.int64)
+                                np.add.at(step, np.maximum(order[lo:hi] - WINDOW + 1, 0), 1)
+                                np.add.at(step, np.minimum(order[lo:hi] + 2 * AROUND + WINDOW, sh.size), -1)
+                                near = sh[np.cumsum(step[:-1]) > 0]
+                            near = (near >> np.uint64(32)).astype("<u4")
+                            # one less, for shingles that agree in 32 bits
+                            seen[first] = -(-PERCENT * _distinct_least(near) // 100) - 1, np.unique(near).tobytes()
+                        held.append((row["key"], doc, row["at"], *seen[first]))
+                    if len(held) > 20_000:
+                        yield out(held)
+                        held = []
+            yield out(held)
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    own = rows.groupBy("doc_id").agg(F.collect_list(F.struct("key", "at")).alias("own"))
+    texts = texts_of(docs, own.select("doc_id")).join(own, "doc_id").select("doc_id", "text", "own")
+    return texts.mapInArrow(run, f"key long, doc_id {kind}, at int, need int, around binary")
+
+
+def _bucket(docs: list, linked: list[list], centre: np.ndarray, need: np.ndarray, around: list[bytes | None]) -> list[tuple]:
+    """Pairs of a centre and a document of a key that no chain of passages links yet and
+    that have enough shingles there in common; those without `around` were centres."""
+    above: dict = {}
+
+    def root(x):  # noqa: ANN001, ANN202
+        while (y := above.get(x, x)) != x:
+            above[x] = above.get(y, y)
+            x = y
+        return x
+
+    for doc, others in zip(docs, linked, strict=True):
+        for x in others:
+            above[root(doc)] = root(x)
+    own = [i for i, x in enumerate(around) if x is not None]
+    docs, around, centre, need = [docs[i] for i in own], [around[i] for i in own], centre[own], need[own]
+    roots = [root(x) for x in docs]
+    number = {x: i for i, x in enumerate(dict.fromkeys(roots))}
+    if len(number) < 2:
+        return []
+    group = np.array([number[x] for x in roots])
+    size = np.array([len(x) // 4 for x in around])
+    words, which = np.unique(np.frombuffer(b"".join(around), "<u4"), return_inverse=True)
+    starts, mark, out = np.cumsum(size) - size, np.zeros(words.size, np.int64), []
+    for i in np.flatnonzero(centre).tolist():
+        own = which[starts[i] : starts[i] + size[i]]
+        mark[own] = 1
+        shared = np.add.reduceat(mark[which], starts)
+        mark[own] = 0
+        near = (shared >= np.maximum(need, need[i])) & (group != group[i])
+        out += [(min(docs[i], docs[j]), max(docs[i], docs[j])) for j in np.flatnonzero(near).tolist()]
+    return out
 
-def _able(left: DataFrame, least: int) -> DataFrame:
-    """What is left of documents that still have keys in enough bands to meet another."""
-    able = left.groupBy("doc_id").agg(_bands().alias("bands")).where(F.col("bands") >= least).select("doc_id")
-    return left.join(able, "doc_id", "left_semi")
 
+def _candidates(rows: DataFrame) -> DataFrame:
+    """(a, b), a < b: what _bucket gives for each key."""
 
-def _uncovered(named: DataFrame, found: DataFrame) -> DataFrame:
-    """Documents of a key whose place in them no passage shared with a smaller document
-    covers."""
-    spans = found.groupBy(F.col("b").alias("doc_id")).agg(F.collect_set(F.struct(F.col("b_word").alias("lo"), F.col("b_to").alias("hi"))).alias("spans"))
-    covered = F.coalesce(F.expr("exists(spans, s -> at >= s.lo and at < s.hi)"), F.lit(False))
-    return named.join(spans, "doc_id", "left").where(~covered).select("key", "doc_id", "at", "centre")
+    @settled
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(table: pa.Table) -> pa.RecordBatch:
+            key, centre, need = (np.asarray(table.column(c)) for c in ("key", "centre", "need"))
+            docs, linked, around = (table.column(c).to_pylist() for c in ("doc_id", "linked", "around"))
+            ends = np.append(np.flatnonzero(key[1:] != key[:-1]) + 1, key.size).tolist()
+            pairs: set[tuple] = set()
+            for lo, hi in zip([0, *ends[:-1]], ends, strict=True):
+                pairs.update(_bucket(docs[lo:hi], linked[lo:hi], centre[lo:hi], need[lo:hi], around[lo:hi]))
+            columns, kind = list(zip(*pairs, strict=True)) or [(), ()], table.schema.field("doc_id").type
+            return pa.RecordBatch.from_arrays([pa.array(c, kind) for c in columns], names=["a", "b"])
+
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = np.asarray(batch.column("key"))
+            cut = int(np.searchsorted(key, key[-1]))  # where the last key begins
+            if cut or held and held[-1].column("key")[0].as_py() != key[0]:
+                yield out(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+                held = []
+            held.append(batch.slice(cut))
+        if held:
+            yield out(pa.Table.from_batches(held))
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    dealt = rows.select("key", "doc_id", "linked", "centre", "need", "around").repartition("key").sortWithinPartitions("key", "doc_id")
+    return dealt.mapInArrow(run, f"a {kind}, b {kind}").distinct()
 
 
 def shared_passages(docs: DataFrame, work: Work) -> DataFrame:
     """What _matches gives for all pairs that the rounds compare; docs (doc_id, text)
     have one row for each id."""
     keys = work.table(paragraph_keys(docs), "paragraphs")  # hashed once, read for the sizes and the join
-    named = work.table(_keys_left(keys, 0), "keys")
+    named = work.table(_keys_left(keys), "keys")
     work.drop("paragraphs")
     tested = work.table(_closest(named), "pairs")
     found = work.table(_matches(tested, docs), "matches")
-    # a centre stays until all documents of its key were compared with it or are covered
-    left = work.table(_uncovered(named.where(~F.col("centre")), found).unionByName(named.where("centre")).drop("centre"), "left-0")
+    shared = work.table(_open(named.drop("centre").withColumn("done", F.lit(False)), found).select("key", "doc_id", "at"), "open")
     work.drop("keys")
+    left = work.table(_surroundings(shared, docs).withColumn("done", F.lit(False)), "left-0")
+    work.drop("open")
     number = 0
     while True:
-        named = work.table(_keys_left(_able(left, LEAST_BANDS[number > 1]) if number else left, number), f"keys-{number}")
+        centre = F.col("doc_id") == F.col("least")
+        if number:
+            part = F.ceil(F.col("n") / 2 ** (number * (number + 1) // 2))
+            centre |= (F.col("n") <= FEW) | (F.pmod(F.xxhash64("doc_id", "key"), part) == 0)
+        rows = work.table(_open(left, found).withColumn("centre", ~F.col("done") & centre), f"keys-{number}")
         work.drop(f"left-{number}")
-        if not named.head(1):
+        if not rows.head(1):
             return found
-        if number:
-            met = _met(named).groupBy("a", "b").agg(_bands().alias("bands")).where(F.col("bands") >= LEAST_BANDS[number > 1])
-        else:
-            met = _met(named)
-        pairs = work.table(met.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), f"pairs-{number}")
+        pairs = work.table(_candidates(rows).join(tested, ["a", "b"], "left_anti"), f"pairs-{number}")
         if pairs.head(1):
             tested = tested.union(pairs)
             found = found.union(work.table(_matches(pairs, docs), f"matches-{number}"))
         number += 1
-        left = work.table(_uncovered(named.where(~F.col("centre")), found).drop("centre"), f"left-{number}")
+        # a centre was compared with all of its key that nothing linked to it
+        done = F.col("done") | F.col("centre")
+        left = work.table(rows.select("key", "doc_id", "at", "need", F.when(~done, F.col("around")).alias("around"), done.alias("done")), f"left-{number}")
         work.drop(f"keys-{number - 1}")
 
 

@@ -509,6 +509,28 @@ def test_op7_near_passages_against_brute_force(spark):
     assert set(found["doc_id"]) <= {i for i, _ in docs}
 
 
+@pytest.mark.parametrize("shape", ["one band", "chain"])
+def test_op7_no_link_is_left_out_by_rounds(spark, monkeypatch, shape):
+    """Two documents of one key that collide in a single band, where an earlier one holds
+    another half of the passage; a passage that only a covered document shares."""
+    r = random.Random(24)
+    p = prose(r, 120, 10**6).split()
+    if shape == "one band":
+        texts = {1: p[20:52], 2: p[:72], 3: p[:72]}
+        want = {(2, 3)}
+    else:  # 1 and 2 share a passage, 2 and 3 another one around the same key, 1 and 3 less
+        texts = {1: p[:64], 2: p[:100], 3: p[36:100]}
+        want = {(1, 2), (2, 3)}
+    rows = [(i, " ".join([prose(r, 40, 10**6), *t, prose(r, 40, 10**6)])) for i, t in texts.items()]
+    lead = 40  # the key's place is word 48 of p, which all of them hold
+    at = {1: lead + (28 if shape == "one band" else 48), 2: lead + 48, 3: lead + (48 if shape == "one band" else 12)}
+    keys = spark.createDataFrame([(i, 8, a) for i, a in at.items()], "doc_id long, key long, at int")
+    monkeypatch.setattr(op7_substring, "paragraph_keys", lambda _: keys)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = op7_substring.shared_passages(docs, Work(spark, "rounds"))
+    assert {(x["a"], x["b"]) for x in found.collect()} >= want
+
+
 def test_op7_repeated_ids(spark):
     r = random.Random(23)
     passage = prose(r, 70, 10**6)
