@@ -531,6 +531,18 @@ def test_op7_no_link_is_left_out_by_rounds(spark, monkeypatch, shape):
     assert {(x["a"], x["b"]) for x in found.collect()} >= want
 
 
+def test_passages_cut_what_only_a_covered_document_shares(spark, monkeypatch, tmp_path):
+    r = random.Random(25)
+    p = prose(r, 120, 10**6).split()
+    texts = {1: p[:64], 2: p[:100], 3: p[36:100]}
+    rows = [(i, " ".join([prose(r, 40, 10**6), *t, prose(r, 40, 10**6)])) for i, t in texts.items()]
+    keys = spark.createDataFrame([(1, 8, 88), (2, 8, 88), (3, 8, 52)], "doc_id long, key long, at int")
+    monkeypatch.setattr(op7_substring, "paragraph_keys", lambda _: keys)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {x["doc_id"]: x["text"] for x in corpus_pipeline.passages(spark, docs, str(tmp_path)).collect()}
+    assert kept[1] == rows[0][1] and " ".join(p[40:96]) not in kept[3]
+
+
 def test_op7_repeated_ids(spark):
     r = random.Random(23)
     passage = prose(r, 70, 10**6)
