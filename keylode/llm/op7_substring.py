@@ -4,22 +4,20 @@ A paragraph is any run of 50 consecutive words (46 five-word shingles), wherever
 ends fall.  Each paragraph of a document is reduced to its MinHash minima in six bands;
 neighbouring paragraphs mostly share their minima, so a document keeps few.  The key of a
 minimum is its shingle with five words on either side, so phrases that are shorter collide
-with nothing.  Documents with a colliding paragraph are compared, in rounds:
+with nothing.  Documents with a colliding paragraph are linked in two steps:
 
 1. every document is compared with one other: of the smallest documents of its keys,
    the one that shares most of them;
-2. of each key's documents that no chain of passages at this place links yet, each is
-   compared with the smallest, then with further ones: all of them where there are few,
-   else a part that grows with each round (2, 8, 64, 1024, ...), until every two are
-   linked by a chain or were compared.
+2. of each key's places that no chain of passages links yet, all are tested against each
+   other: the shingles of the paragraphs that can hold the key (102 at most) must have a
+   passage around the key.  Equal surroundings are one class, tested once, and two that a
+   chain links meanwhile need no test of their own; each test that joins two chains makes
+   one pair of documents, which are then compared whole.  If that shows no passage there,
+   the one around the key counts.
 
-From the second round on, two documents that a key brings together are compared if the
-paragraphs around it have so many shingles in common as a passage must have there: this
-leaves out chance and short phrases, and no passage.
-
-So an earlier document that merely holds words of a passage doesn't hide it, nor does one
-that shares it with one of two documents only; a group of copies costs as much as its
-members, and no key has a cap.
+So no place of a key is left out that has a passage in common with another one there,
+whatever else the documents share; a key of n places makes n - 1 pairs at most, and has no
+cap.  A document's places of one key stand each for itself.
 
 Passages are read off the full shingle sequences: runs of shingles in the same order
 whose exact Jaccard similarity is 0.75 or more, cut at their widest gaps until it is, and
@@ -47,6 +45,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,10 +60,11 @@ K, WORDS, BANDS = 5, 50, 6
 AROUND = 5
 WINDOW = WORDS - K + 1
 PERCENT = 75
-#: Keys of up to so many documents are compared whole in the second round.
-FEW = 8
-#: Bands that two documents must share to meet, in whatever round.
+#: Bands that two documents must share to meet, in whatever step.
 LEAST_BANDS = 1, 1
+#: Places of one text that passages bring to one point differ by so many words at most
+#: (edits before it move it).
+DRIFT = 32
 #: Documents that the text of a centre is sent with.
 BLOCK = 64
 #: A passage may lose this many shingles in a row (an edited word costs five).
@@ -81,6 +81,8 @@ LEAST_RUN = 12
 PLACES = 1 << 20
 #: Columns that are joined to documents for a moment.
 ID, CUT = "__keylode_id", "__keylode_cut"
+#: What pairs bring to _matches.
+KNOWN = "array<struct<s: int, e: int, p: int, q: int, b_at: int, a_at: int>>"
 
 
 def _least(body: np.ndarray, seed: int) -> np.ndarray:
@@ -105,10 +107,20 @@ def _runs_around(body: np.ndarray, at: np.ndarray, lo: np.ndarray, hi: np.ndarra
     return out
 
 
+def _content(body: np.ndarray, at: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Hashes of all paragraphs that can hold the keys of these places."""
+    first = np.clip(at - AROUND, lo, hi - 2 * AROUND - 1)
+    begin, end = np.maximum(lo, first - WINDOW + 1), np.minimum(hi, first + 2 * AROUND + WINDOW)
+    out = ((first - begin) * 4 * WINDOW + end - begin).astype(np.uint64)
+    for step in range(0, 2 * (WINDOW + AROUND), K):
+        out = textvec.mix(out + body[np.minimum(begin + step, end - 1)])
+    return textvec.mix(out + body[end - 1])
+
+
 def paragraph_keys(docs: DataFrame) -> DataFrame:
     """doc_id, key, at: for each band the minima of the document's paragraphs, each with
-    the words around it; `at` is the minimum's first place, in words.  The three low bits
-    of a key name its band."""
+    the words around it, at all its places whose paragraphs differ; `at` is the minimum's
+    place, in words.  The three low bits of a key name its band."""
 
     @settled
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,8 +140,13 @@ def paragraph_keys(docs: DataFrame) -> DataFrame:
                     new[1:] = at[1:] != at[:-1]
                     at, own = at[new], row[new]
                     key = _runs_around(body, at, first[own], first[own + 1] - K + 1) & ~np.uint64(7) | np.uint64(band)
-                    _, once = np.unique(key ^ textvec.mix(own.astype(np.uint64)), return_index=True)
-                    at, own, key = at[once], own[once], key[once]
+                    name = key ^ textvec.mix(own.astype(np.uint64))
+                    _, same, count = np.unique(name, return_inverse=True, return_counts=True)
+                    again = np.flatnonzero(count[same] > 1)
+                    if again.size:
+                        name[again] = textvec.mix(name[again]) + _content(body, at[again], first[own[again]], first[own[again] + 1] - K + 1)
+                        _, once = np.unique(name, return_index=True)
+                        at, own, key = at[once], own[once], key[once]
                     yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(own)), pa.array(key.view(np.int64)), pa.array((at - first[own]).astype(np.int32))], names=["doc_id", "key", "at"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -362,9 +379,17 @@ def _texts(column: pa.Array) -> Iterator[_Text]:
         yield _Text(shingles, start[own], end[own], raw[offsets[i] : offsets[i + 1]])
 
 
+def _covers(span: tuple[int, int, int, int], b_at: int, a_at: int) -> bool:
+    """Whether a passage (as _runs gives it) holds the shingles at these places."""
+    s, e, p, q = span
+    return s <= b_at and b_at + K <= e and p <= a_at and a_at + K <= q
+
+
 def _matches(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """(a, a_start, a_end, a_word, a_to, b, b_start, b_end, b_word, b_to) of every passage
-    that the documents of a pair share, in code points and in words, ends exclusive."""
+    that the documents of a pair share, in code points and in words, ends exclusive.
+    Pairs may bring `known`, passages around a place (b_at, a_at) that count where the
+    comparison of the whole texts shows none."""
     kind = pairs.schema["a"].dataType
     names = [f"{k}{c}" for k in "ab" for c in ("", "_start", "_end", "_word", "_to")]
 
@@ -374,13 +399,17 @@ def _matches(pairs: DataFrame, docs: DataFrame) -> DataFrame:
         for batch in batches:
             for part in textvec.parts(batch, "text", 200):
                 found: list[tuple] = []
-                for a, is_centre, b, own in zip(*(part.column(c).to_pylist() for c in ("a", "centre", "doc_id")), _texts(part.column("text")), strict=True):
+                for a, is_centre, b, known, own in zip(*(part.column(c).to_pylist() for c in ("a", "centre", "doc_id", "known")), _texts(part.column("text")), strict=True):
                     if is_centre:
                         centre = a, own
                         continue
                     if centre is None or centre[0] != a:
                         raise RuntimeError("a block has no centre")
-                    for s, e, p, q in _runs(centre[1].shingles, own.shingles):
+                    spans = _runs(centre[1].shingles, own.shingles)
+                    for k in known or ():
+                        if not any(_covers(span, k["b_at"], k["a_at"]) for span in spans):
+                            spans.append((k["s"], k["e"], k["p"], k["q"]))
+                    for s, e, p, q in spans:
                         found.append((a, *centre[1].place(p, q), p, q, b, *own.place(s, e), s, e))
                 columns = list(zip(*found, strict=True)) or [()] * len(names)
                 yield pa.RecordBatch.from_arrays([pa.array(c, part.schema.field("doc_id").type if n in "ab" else pa.int64()) for n, c in zip(names, columns, strict=True)], names=names)
@@ -388,22 +417,24 @@ def _matches(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     # the centre's row, then the others of the block
     many = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")).where("blocks > 1")
     block = F.coalesce(F.pmod(F.xxhash64("b"), F.col("blocks")), F.lit(0)).alias("block")
-    laid = pairs.join(bounded(many), "a", "left").select("a", "b", block)
-    roles = laid.select("a", "block", F.lit(False).alias("centre"), F.col("b").alias("doc_id")).union(laid.select("a", "block", F.lit(True), F.col("a")).distinct())
-    rows = docs.join(bounded(roles), "doc_id").select("a", "block", "centre", "doc_id", "text")
+    known = (F.col("known") if "known" in pairs.columns else F.lit(None)).cast(KNOWN).alias("known")
+    laid = pairs.join(bounded(many), "a", "left").select("a", "b", block, known)
+    centres = laid.select("a", "block").distinct().select("a", "block", F.lit(True), F.col("a"), F.lit(None).cast(KNOWN))
+    roles = laid.select("a", "block", F.lit(False).alias("centre"), F.col("b").alias("doc_id"), "known").union(centres)
+    rows = docs.join(bounded(roles), "doc_id").select("a", "block", "centre", "doc_id", "text", "known")
     sorted_ = rows.repartition("a", "block").sortWithinPartitions("a", "block", F.desc("centre"), "doc_id")
     return sorted_.mapInArrow(run, ", ".join(f"{n} {kind.simpleString() if n in 'ab' else 'long'}" for n in names))
 
 
 def _keys_left(left: DataFrame) -> DataFrame:
     """(key, doc_id, at, centre): the keys of several documents; the smallest is a centre."""
-    sizes = left.groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1")
+    sizes = left.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least <> most")
     return left.join(sizes, "key").select("key", "doc_id", "at", (F.col("doc_id") == F.col("least")).alias("centre"))
 
 
 def _met(named: DataFrame) -> DataFrame:
     """(a, b, key), a < b: centres with the documents of their keys."""
-    other = named.where("centre").select("key", F.col("doc_id").alias("other"))
+    other = named.where("centre").select("key", F.col("doc_id").alias("other")).distinct()
     return named.join(other, "key").where("doc_id <> other").select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b"), "key")
 
 
@@ -414,120 +445,208 @@ def _closest(named: DataFrame) -> DataFrame:
 
 
 def _open(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """rows with `linked`, the smaller documents that share a passage with theirs which
-    covers their place, and `least` and `n` of their key among rows that weren't centres;
-    only keys that have several of these and aren't seen to be linked."""
-    spans = found.groupBy(F.col("b").alias("doc_id")).agg(F.collect_set(F.struct(F.col("b_word").alias("lo"), F.col("b_to").alias("hi"), "a")).alias("spans"))
-    linked = F.coalesce(F.expr("array_distinct(transform(filter(spans, s -> at >= s.lo and at < s.hi), s -> s.a))"), F.array().cast(f"array<{rows.schema['doc_id'].dataType.simpleString()}>"))
-    named = rows.join(spans, "doc_id", "left").withColumn("linked", linked).drop("spans")
-    label, waits = F.coalesce(F.array_min("linked"), F.col("doc_id")), F.when(~F.col("done"), F.col("doc_id"))
-    open_ = named.groupBy("key").agg(F.min(waits).alias("least"), F.count(waits).alias("n"), F.min(label).alias("low"), F.max(label).alias("high")).where("n > 1 and low <> high")
-    return named.join(open_.drop("low", "high"), "key")
-
-
-def _distinct_least(sh: np.ndarray) -> int:
-    """At least so many distinct shingles has a passage among these."""
-    if np.unique(sh).size == sh.size:
-        return min(sh.size, LEAST_LENGTH)
-    if sh.size > 1000:
-        return 1
-    return min(np.unique(sh[i : i + LEAST_LENGTH]).size for i in range(max(1, sh.size - LEAST_LENGTH + 1)))
+    """rows with `linked`, the places (a, place) of smaller documents that passages bring
+    theirs to; only keys whose places aren't all seen to be linked."""
+    spans = found.groupBy(F.col("b").alias("doc_id")).agg(
+        F.collect_set(F.struct(F.col("b_word").alias("lo"), F.col("b_to").alias("hi"), "a", F.col("a_word").alias("p"), F.col("a_to").alias("q"))).alias("spans")
+    )
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    places = F.expr(
+        f"array_distinct(transform(filter(spans, s -> at >= s.lo and at + {K} <= s.hi), s -> struct(s.a as a, cast(s.p + (at - s.lo) * (s.q - s.p) / (s.hi - s.lo) as int) as place)))"
+    )
+    named = rows.join(spans, "doc_id", "left").withColumn("linked", F.coalesce(places, F.array().cast(f"array<struct<a: {kind}, place: int>>"))).drop("spans")
+    label = F.coalesce(F.array_min("linked"), F.struct(F.col("doc_id").alias("a"), F.col("at").cast("int").alias("place")))
+    open_ = named.groupBy("key").agg(F.min(label).alias("low"), F.max(label).alias("high")).where(f"low.a <> high.a or high.place - low.place > {DRIFT}")
+    return named.join(open_.select("key"), "key")
 
 
 def _surroundings(rows: DataFrame, docs: DataFrame) -> DataFrame:
-    """key, doc_id, at, need, around: the shingles of all paragraphs of the document that
-    can hold the key, at whatever place (32 bits of each), and how many of them another
-    document must have to share a passage there."""
+    """key, doc_id, at, lo, around, linked: the shingles (32 bits of each) of all paragraphs
+    that can hold the key at this place, the first of them at `lo`; of a document's places
+    with equal ones, one."""
 
     @settled
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(held: list[tuple]) -> pa.RecordBatch:
-            columns = list(zip(*held, strict=True)) or [()] * 5
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), kind, pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["key", "doc_id", "at", "need", "around"])
-
         for batch in batches:
-            kind, held = batch.schema.field("doc_id").type, []
             for part in textvec.parts(batch, "text", 200):
-                for doc, own, text in zip(part.column("doc_id").to_pylist(), part.column("own").to_pylist(), _texts(part.column("text")), strict=True):
-                    sh = text.shingles
-                    run_at = _runs_around(sh, np.arange(sh.size - 2 * AROUND) + AROUND, np.int64(0), np.int64(sh.size))
-                    order = np.argsort(run_at, kind="stable")
-                    ranked = run_at[order]
-                    seen: dict[int, tuple[int, bytes]] = {}
-                    for row in own:
-                        first = min(max(row["at"] - AROUND, 0), sh.size - 2 * AROUND - 1)
-                        if first not in seen:
-                            lo, hi = np.searchsorted(ranked, run_at[first]), np.searchsorted(ranked, run_at[first], side="right")
-                            if hi - lo == 1:
-                                near = sh[max(0, first - WINDOW + 1) : first + 2 * AROUND + WINDOW]
-                            else:
-                                step = np.zeros(sh.size + 1, np.int64)
-                                np.add.at(step, np.maximum(order[lo:hi] - WINDOW + 1, 0), 1)
-                                np.add.at(step, np.minimum(order[lo:hi] + 2 * AROUND + WINDOW, sh.size), -1)
-                                near = sh[np.cumsum(step[:-1]) > 0]
-                            near = (near >> np.uint64(32)).astype("<u4")
-                            # one less, for shingles that agree in 32 bits
-                            seen[first] = -(-PERCENT * _distinct_least(near) // 100) - 1, np.unique(near).tobytes()
-                        held.append((row["key"], doc, row["at"], *seen[first]))
-                    if len(held) > 20_000:
-                        yield out(held)
-                        held = []
-            yield out(held)
+                own = part.column("own")
+                flat, ends = own.flatten(), np.cumsum(np.asarray(pc.list_value_length(own)))
+                keys, ats = np.asarray(flat.field("key")), np.asarray(flat.field("at"))
+                held: list[tuple] = []
+                for row, (hi, text) in enumerate(zip(ends.tolist(), _texts(part.column("text")), strict=True)):
+                    sh, seen = (text.shingles >> np.uint64(32)).astype("<u4"), set()
+                    for i in range(int(ends[row - 1]) if row else 0, hi):
+                        first = min(max(int(ats[i]) - AROUND, 0), sh.size - 2 * AROUND - 1)
+                        lo = max(0, first - WINDOW + 1)
+                        near = sh[lo : first + 2 * AROUND + WINDOW].tobytes()
+                        same = int(keys[i]), first - lo, near
+                        if len(near) >= 4 * LEAST_LENGTH and same not in seen:
+                            seen.add(same)
+                            held.append((i, row, first + AROUND, lo, near))
+                if not held:
+                    continue
+                i, row, at, lo, near = zip(*held, strict=True)
+                i = pa.array(i)
+                columns = [flat.field("key").take(i), part.column("doc_id").take(pa.array(row)), pa.array(at, pa.int32()), pa.array(lo, pa.int32()), pa.array(near, pa.binary()), flat.field("linked").take(i)]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "doc_id", "at", "lo", "around", "linked"])
 
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    own = rows.groupBy("doc_id").agg(F.collect_list(F.struct("key", "at")).alias("own"))
+    kind, linked = (rows.schema[c].dataType.simpleString() for c in ("doc_id", "linked"))
+    own = rows.groupBy("doc_id").agg(F.collect_list(F.struct("key", F.col("at").cast("int").alias("at"), "linked")).alias("own"))
     texts = texts_of(docs, own.select("doc_id")).join(own, "doc_id").select("doc_id", "text", "own")
-    return texts.mapInArrow(run, f"key long, doc_id {kind}, at int, need int, around binary")
+    return texts.mapInArrow(run, f"key long, doc_id {kind}, at int, lo int, around binary, linked {linked}")
+
 
+class _Chains:
+    """Places of a key, joined where a passage links them."""
 
-def _bucket(docs: list, linked: list[list], centre: np.ndarray, need: np.ndarray, around: list[bytes | None]) -> list[tuple]:
-    """Pairs of a centre and a document of a key that no chain of passages links yet and
-    that have enough shingles there in common; those without `around` were centres."""
-    above: dict = {}
+    def __init__(self, n: int):
+        self.above = list(range(n))
 
-    def root(x):  # noqa: ANN001, ANN202
-        while (y := above.get(x, x)) != x:
-            above[x] = above.get(y, y)
+    def root(self, x: int) -> int:
+        while (y := self.above[x]) != x:
+            self.above[x] = self.above[y]
             x = y
         return x
 
-    for doc, others in zip(docs, linked, strict=True):
-        for x in others:
-            above[root(doc)] = root(x)
-    own = [i for i, x in enumerate(around) if x is not None]
-    docs, around, centre, need = [docs[i] for i in own], [around[i] for i in own], centre[own], need[own]
-    roots = [root(x) for x in docs]
-    number = {x: i for i, x in enumerate(dict.fromkeys(roots))}
-    if len(number) < 2:
-        return []
-    group = np.array([number[x] for x in roots])
-    size = np.array([len(x) // 4 for x in around])
-    words, which = np.unique(np.frombuffer(b"".join(around), "<u4"), return_inverse=True)
-    starts, mark, out = np.cumsum(size) - size, np.zeros(words.size, np.int64), []
-    for i in np.flatnonzero(centre).tolist():
-        own = which[starts[i] : starts[i] + size[i]]
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.root(x), self.root(y)
+        self.above[max(x, y)] = min(x, y)
+        return x != y
+
+
+def _around_key(cost: np.ndarray, key: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """For each row the least sum of costs over the stretches that hold the key and are as
+    long as a passage."""
+    value = np.zeros((cost.shape[0], cost.shape[1] + 1), np.float32)
+    np.cumsum(cost, axis=1, out=value[:, 1:])
+    end = np.arange(LEAST_LENGTH, cost.shape[1] + 1)
+    start = np.minimum(key[:, None], end[None, :] - LEAST_LENGTH)
+    best = value[:, LEAST_LENGTH:] - np.take_along_axis(np.maximum.accumulate(value, axis=1), start, axis=1)
+    best[(end[None, :] <= key[:, None]) | (end[None, :] > size[:, None])] = np.inf
+    return best.min(axis=1, initial=np.inf)
+
+
+def _bucket(docs: list, at: list[int], lo: list[int], around: list[bytes], linked: list[list[dict]]) -> list[tuple]:
+    """(a, b, s, e, p, q, b_at, a_at) of a key: passages around it, s to e of b and p to q of
+    a, that link the places which no chain of passages links yet."""
+    chains, out = _Chains(len(docs)), []
+    places = sorted([(x["a"], x["place"], i) for i, own in enumerate(linked) for x in own] + [(d, k, i) for i, (d, k) in enumerate(zip(docs, at, strict=True))])
+    doc, place, one = places[0]
+    for d, k, i in places[1:]:
+        if d == doc and k - place <= DRIFT:
+            chains.join(one, i)
+        else:
+            doc, place, one = d, k, i
+
+    def add(i: int, j: int, span: tuple[int, int, int, int]) -> None:  # span: of j, then of i
+        s, e, p, q = span[0] + lo[j], span[1] + lo[j], span[2] + lo[i], span[3] + lo[i]
+        out.append((docs[i], docs[j], s, e, p, q, at[j], at[i]) if docs[i] < docs[j] else (docs[j], docs[i], p, q, s, e, at[i], at[j]))
+
+    members: dict[tuple, list[int]] = {}
+    for i, (k, l, near) in enumerate(zip(at, lo, around, strict=True)):
+        members.setdefault((k - l, near), []).append(i)
+    for (_, near), (i, *others) in members.items():
+        whole = len(near) // 4 + K - 1
+        for j in others:
+            if chains.join(i, j):
+                add(i, j, (0, whole, 0, whole))
+    rows = list(members.values())
+    rep = [x[0] for x in rows]
+    group = np.array([chains.root(i) for i in rep])
+    if (group == group[0]).all():
+        return out
+    key = np.array([at[i] - lo[i] for i in rep])
+    size = np.array([len(around[i]) // 4 for i in rep])
+    owner = {d: i for i, d in enumerate(dict.fromkeys(docs))}
+    sole = np.array([owner[docs[x[0]]] if len({docs[i] for i in x}) == 1 else -1 - n for n, x in enumerate(rows)])
+    words, flat = np.unique(np.frombuffer(b"".join(around[i] for i in rep), "<u4"), return_inverse=True)
+    wide = int(size.max())
+    held = np.arange(wide)[None, :] < size[:, None]
+    which = np.full(held.shape, words.size, np.int32)
+    which[held] = flat
+    order = np.argsort(which, axis=1, kind="stable")
+    ranked = np.take_along_axis(which, order, axis=1)
+    new = np.ones(held.shape, bool)
+    np.put_along_axis(new, order[:, 1:], ranked[:, 1:] != ranked[:, :-1], axis=1)
+    repeats = (held & ~new).any(axis=1)
+    least = _distinct_least(order, ranked, size)
+    # for each word the rows that hold it; those in all rows tell nothing
+    row_of, word_of = np.nonzero(held & new)[0], which[held & new]
+    post = row_of[np.argsort(word_of, kind="stable")]
+    many = np.bincount(word_of, minlength=words.size)
+    begin, everywhere = np.cumsum(many) - many, many == len(rep)
+    tested, mark, spot = np.zeros(len(rep), bool), np.zeros(words.size + 1, np.uint8), np.full(words.size + 1, wide)
+    while True:
+        names, count = np.unique(group, return_counts=True)
+        todo = np.flatnonzero((group != names[count.argmax()]) & ~tested)
+        if names.size == 1 or not todo.size:  # of two chains one isn't the largest
+            return out
+        c = int(todo[0])
+        own, n = which[c, : size[c]], int(size[c])
+        tested[c] = True
+        once, place = np.unique(own, return_inverse=True)
+        lists = [post[k : k + m] for k, m in zip(begin[once].tolist(), np.where(everywhere, 0, many)[once].tolist(), strict=True) if m]
+        shared = np.bincount(np.concatenate(lists), minlength=len(rep)) if lists else np.zeros(len(rep), np.int64)
+        shared += everywhere[once].sum()
+        other = np.flatnonzero((7 * shared >= 3 * (least + least[c])) & (group != group[c]) & (sole != sole[c]))
+        if not other.size:
+            continue
         mark[own] = 1
-        shared = np.add.reduceat(mark[which], starts)
+        hit, shared = mark[which[other]], shared[other]
         mark[own] = 0
-        near = (shared >= np.maximum(need, need[i])) & (group != group[i])
-        out += [(min(docs[i], docs[j]), max(docs[i], docs[j])) for j in np.flatnonzero(near).tolist()]
+        # what is lost of both texts is a third of what they share at most: n - 7/6 h of n
+        # shingles and h hits sum to 0 at most; shingles that repeat count once, where they are new
+        again = repeats[other] | repeats[c]
+        spot[once] = np.arange(once.size)
+        seen = np.zeros((other.size, wide + 1), np.uint8)
+        seen[np.arange(other.size)[:, None], spot[which[other]]] = 1
+        spot[once] = wide
+        seen = seen[:, place]
+        lost = np.where(again, -shared / 3, 0)
+        for h, first, at_, size_ in ((hit, new[other], key[other], size[other]), (seen, new[c : c + 1, :n], np.full(other.size, key[c]), np.full(other.size, n))):
+            lost += _around_key(np.where(again[:, None], first & (h == 0), 1 - h * np.float32(7 / 6)), at_, size_)
+        for j, worth in sorted(zip(other.tolist(), lost.tolist(), strict=True), key=lambda x: x[1]):
+            if worth > 1e-3:
+                break
+            if group[j] == group[c]:
+                continue
+            pair = next(((x, y) for x in rows[c] for y in rows[j] if docs[x] != docs[y]), None)
+            if pair and (span := _passage_at(own, which[j, : size[j]], int(key[c]), int(key[j]))):
+                add(*pair, span)
+                group[group == group[j]] = group[c]
+
+
+def _distinct_least(order: np.ndarray, ranked: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """At least so many distinct shingles has a passage of each row, sorted as `ranked`."""
+    out = np.full(size.size, LEAST_LENGTH)
+    some = np.flatnonzero(((ranked[:, 1:] == ranked[:, :-1]) & (np.arange(1, order.shape[1])[None, :] < size[:, None])).any(axis=1))
+    if some.size:
+        before, (order, ranked, size) = np.full((some.size, order.shape[1]), -1), (x[some] for x in (order, ranked, size))
+        np.put_along_axis(before, order[:, 1:], np.where(ranked[:, 1:] == ranked[:, :-1], order[:, :-1], -1), axis=1)
+        for i in range(int(size.max()) - LEAST_LENGTH + 1):
+            count = (before[:, i : i + LEAST_LENGTH] < i).sum(axis=1)
+            out[some] = np.where(i + LEAST_LENGTH <= size, np.minimum(out[some], count), out[some])
     return out
 
 
+def _passage_at(x: np.ndarray, y: np.ndarray, x_at: int, y_at: int) -> tuple[int, int, int, int] | None:
+    """A passage of y and x that holds these places."""
+    return next((span for span in _runs(x, y) if _covers(span, y_at, x_at)), None)
+
+
 def _candidates(rows: DataFrame) -> DataFrame:
-    """(a, b), a < b: what _bucket gives for each key."""
+    """(a, b, known), a < b: what _bucket gives for each key."""
+    names = ["a", "b", "s", "e", "p", "q", "b_at", "a_at"]
 
     @settled
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(table: pa.Table) -> pa.RecordBatch:
-            key, centre, need = (np.asarray(table.column(c)) for c in ("key", "centre", "need"))
-            docs, linked, around = (table.column(c).to_pylist() for c in ("doc_id", "linked", "around"))
+            key = np.asarray(table.column("key"))
+            own = [table.column(c).to_pylist() for c in ("doc_id", "at", "lo", "around", "linked")]
             ends = np.append(np.flatnonzero(key[1:] != key[:-1]) + 1, key.size).tolist()
-            pairs: set[tuple] = set()
-            for lo, hi in zip([0, *ends[:-1]], ends, strict=True):
-                pairs.update(_bucket(docs[lo:hi], linked[lo:hi], centre[lo:hi], need[lo:hi], around[lo:hi]))
-            columns, kind = list(zip(*pairs, strict=True)) or [(), ()], table.schema.field("doc_id").type
-            return pa.RecordBatch.from_arrays([pa.array(c, kind) for c in columns], names=["a", "b"])
+            found = [x for lo, hi in zip([0, *ends[:-1]], ends, strict=True) if hi - lo > 1 for x in _bucket(*(c[lo:hi] for c in own))]
+            columns, kind = list(zip(*found, strict=True)) or [()] * len(names), table.schema.field("doc_id").type
+            return pa.RecordBatch.from_arrays([pa.array(c, kind if n in "ab" else pa.int32()) for n, c in zip(names, columns, strict=True)], names=names)
 
         held: list[pa.RecordBatch] = []
         for batch in batches:
@@ -543,41 +662,23 @@ def _candidates(rows: DataFrame) -> DataFrame:
             yield out(pa.Table.from_batches(held))
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    dealt = rows.select("key", "doc_id", "linked", "centre", "need", "around").repartition("key").sortWithinPartitions("key", "doc_id")
-    return dealt.mapInArrow(run, f"a {kind}, b {kind}").distinct()
+    dealt = rows.repartition("key").sortWithinPartitions("key", "doc_id", "at")
+    pairs = dealt.mapInArrow(run, ", ".join(f"{n} {kind if n in 'ab' else 'int'}" for n in names))
+    return pairs.groupBy("a", "b").agg(F.collect_set(F.struct(*names[2:])).alias("known"))
 
 
 def shared_passages(docs: DataFrame, work: Work) -> DataFrame:
-    """What _matches gives for all pairs that the rounds compare; docs (doc_id, text)
-    have one row for each id."""
+    """What _matches gives for all pairs that are compared; docs (doc_id, text) have one
+    row for each id."""
     keys = work.table(paragraph_keys(docs), "paragraphs")  # hashed once, read for the sizes and the join
     named = work.table(_keys_left(keys), "keys")
     work.drop("paragraphs")
-    tested = work.table(_closest(named), "pairs")
-    found = work.table(_matches(tested, docs), "matches")
-    shared = work.table(_open(named.drop("centre").withColumn("done", F.lit(False)), found).select("key", "doc_id", "at"), "open")
+    found = work.table(_matches(work.table(_closest(named), "pairs-0"), docs), "matches-0")
+    left = work.table(_open(named.drop("centre"), found), "open")
     work.drop("keys")
-    left = work.table(_surroundings(shared, docs).withColumn("done", F.lit(False)), "left-0")
+    pairs = work.table(_candidates(_surroundings(left, docs)), "pairs-1")
     work.drop("open")
-    number = 0
-    while True:
-        centre = F.col("doc_id") == F.col("least")
-        if number:
-            part = F.ceil(F.col("n") / 2 ** (number * (number + 1) // 2))
-            centre |= (F.col("n") <= FEW) | (F.pmod(F.xxhash64("doc_id", "key"), part) == 0)
-        rows = work.table(_open(left, found).withColumn("centre", ~F.col("done") & centre), f"keys-{number}")
-        work.drop(f"left-{number}")
-        if not rows.head(1):
-            return found
-        pairs = work.table(_candidates(rows).join(tested, ["a", "b"], "left_anti"), f"pairs-{number}")
-        if pairs.head(1):
-            tested = tested.union(pairs)
-            found = found.union(work.table(_matches(pairs, docs), f"matches-{number}"))
-        number += 1
-        # a centre was compared with all of its key that nothing linked to it
-        done = F.col("done") | F.col("centre")
-        left = work.table(rows.select("key", "doc_id", "at", "need", F.when(~done, F.col("around")).alias("around"), done.alias("done")), f"left-{number}")
-        work.drop(f"keys-{number - 1}")
+    return found.union(work.table(_matches(pairs, docs), "matches-1"))
 
 
 def repeated_passages(docs: DataFrame, work: Work | None = None) -> DataFrame:

@@ -543,6 +543,47 @@ def test_passages_cut_what_only_a_covered_document_shares(spark, monkeypatch, tm
     assert kept[1] == rows[0][1] and " ".join(p[40:96]) not in kept[3]
 
 
+def test_passages_of_a_second_place_of_a_key(spark, monkeypatch, tmp_path):
+    """1, 2 and 3 share a passage; 2 and 3 share another one that meets by the same key."""
+    r = random.Random(26)
+    common, edges = prose(r, 40, 10**6), [prose(r, 20, 10**6) for _ in range(4)]
+    one, two = f"{edges[0]} {common} {edges[1]}", f"{edges[2]} {common} {edges[3]}"
+    rows = [(i, " ".join([prose(r, 40, 10**6), one, prose(r, 40, 10**6), *([two] if i > 1 else []), prose(r, 40, 10**6)])) for i in (1, 2, 3)]
+    docs, keys_of = spark.createDataFrame(rows, "doc_id long, text string"), op7_substring.paragraph_keys
+    held = keys_of(docs).where("at between 60 and 100").groupBy("key").agg(F.countDistinct("doc_id").alias("n")).where("n = 3").toPandas()
+    key = int(held["key"].min())
+    monkeypatch.setattr(op7_substring, "paragraph_keys", lambda x: keys_of(x).where(F.col("key") == key))
+    kept = {x["doc_id"]: x["text"] for x in corpus_pipeline.passages(spark, docs, str(tmp_path)).collect()}
+    assert kept[1] == rows[0][1] and one not in kept[2] and two in kept[2]
+    assert one not in kept[3] and two not in kept[3]
+
+
+def test_op7_pairs_grow_as_the_group(spark, monkeypatch):
+    """Near copies of a paragraph, each edited at places of its own: the pairs that are
+    compared are a few for each, and passages cover as much as all pairs show."""
+    r = random.Random(27)
+    base, texts = prose(r, 150, 10**6).split(), []
+    for i in range(90):
+        words = list(base)
+        for k in r.sample(range(150), 9):
+            words[k] = f"edit{i}x{k}"
+        texts.append(f"{prose(r, 20, 10**6)} {' '.join(words)} {prose(r, 20, 10**6)}")
+    docs, compared, matches = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), [], op7_substring._matches
+
+    def counted(pairs, docs):
+        compared.append(pairs.count())
+        return matches(pairs, docs)
+
+    monkeypatch.setattr(op7_substring, "_matches", counted)
+    found = op7_substring.repeated_passages(docs).toPandas()
+    assert sum(compared) <= 6 * len(texts)
+    monkeypatch.undo()
+    every = [(i, j) for j in range(len(texts)) for i in range(j)]
+    spans = op7_substring._matches(spark.createDataFrame(every, "a long, b long"), docs).toPandas()
+    share = passages_found(found, sorted({(int(x.b), int(x.b_start), int(x.b_end)) for x in spans.itertuples()}))
+    assert np.mean(share) >= 0.97
+
+
 def test_op7_repeated_ids(spark):
     r = random.Random(23)
     passage = prose(r, 70, 10**6)
