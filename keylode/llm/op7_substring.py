@@ -46,7 +46,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from keylode.llm import textvec
@@ -79,6 +79,10 @@ LEAST_RUN = 12
 #: So many places of shingles are looked at in one go (a few bytes each); passages of texts
 #: that repeat themselves more are found in overlapping slices of the text.
 PLACES = 1 << 20
+#: The most shingles before a key's in the paragraphs that can hold it, and after it.
+AHEAD = WINDOW - 1 + AROUND
+#: Bytes of text that are looked at in one go.
+PART = 1 << 20
 #: Columns that are joined to documents for a moment.
 ID, CUT = "__keylode_id", "__keylode_cut"
 #: What pairs bring to _matches.
@@ -125,7 +129,7 @@ def paragraph_keys(docs: DataFrame) -> DataFrame:
     @settled
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in textvec.parts(batch, "text", 500):
+            for part in textvec.parts(batch, "text", 500, PART):
                 hashes, first, _, _ = textvec.words(part.column(1))
                 size = np.diff(first)
                 whole = np.maximum(size - WORDS + 1, 0)  # paragraphs of each row
@@ -397,7 +401,7 @@ def _matches(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centre: tuple | None = None
         for batch in batches:
-            for part in textvec.parts(batch, "text", 200):
+            for part in textvec.parts(batch, "text", 200, PART):
                 found: list[tuple] = []
                 for a, is_centre, b, known, own in zip(*(part.column(c).to_pylist() for c in ("a", "centre", "doc_id", "known")), _texts(part.column("text")), strict=True):
                     if is_centre:
@@ -428,8 +432,9 @@ def _matches(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
 def _keys_left(left: DataFrame) -> DataFrame:
     """(key, doc_id, at, centre): the keys of several documents; the smallest is a centre."""
-    sizes = left.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least <> most")
-    return left.join(sizes, "key").select("key", "doc_id", "at", (F.col("doc_id") == F.col("least")).alias("centre"))
+    own = Window.partitionBy("key")
+    sizes = left.select("key", "doc_id", "at", F.min("doc_id").over(own).alias("least"), F.max("doc_id").over(own).alias("most"))
+    return sizes.where("least <> most").select("key", "doc_id", "at", (F.col("doc_id") == F.col("least")).alias("centre"))
 
 
 def _met(named: DataFrame) -> DataFrame:
@@ -468,11 +473,19 @@ def _surroundings(rows: DataFrame, docs: DataFrame) -> DataFrame:
     @settled
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in textvec.parts(batch, "text", 200):
+            for part in textvec.parts(batch, "text", 200, PART):
                 own = part.column("own")
                 flat, ends = own.flatten(), np.cumsum(np.asarray(pc.list_value_length(own)))
                 keys, ats = np.asarray(flat.field("key")), np.asarray(flat.field("at"))
                 held: list[tuple] = []
+
+                def out() -> pa.RecordBatch:
+                    i, row, at, lo, near = zip(*held, strict=True)
+                    held.clear()
+                    i = pa.array(i)
+                    columns = [flat.field("key").take(i), part.column("doc_id").take(pa.array(row)), pa.array(at, pa.int32()), pa.array(lo, pa.int32()), pa.array(near, pa.binary()), flat.field("linked").take(i)]
+                    return pa.RecordBatch.from_arrays(columns, names=["key", "doc_id", "at", "lo", "around", "linked"])
+
                 for row, (hi, text) in enumerate(zip(ends.tolist(), _texts(part.column("text")), strict=True)):
                     sh, seen = (text.shingles >> np.uint64(32)).astype("<u4"), set()
                     for i in range(int(ends[row - 1]) if row else 0, hi):
@@ -483,12 +496,10 @@ def _surroundings(rows: DataFrame, docs: DataFrame) -> DataFrame:
                         if len(near) >= 4 * LEAST_LENGTH and same not in seen:
                             seen.add(same)
                             held.append((i, row, first + AROUND, lo, near))
-                if not held:
-                    continue
-                i, row, at, lo, near = zip(*held, strict=True)
-                i = pa.array(i)
-                columns = [flat.field("key").take(i), part.column("doc_id").take(pa.array(row)), pa.array(at, pa.int32()), pa.array(lo, pa.int32()), pa.array(near, pa.binary()), flat.field("linked").take(i)]
-                yield pa.RecordBatch.from_arrays(columns, names=["key", "doc_id", "at", "lo", "around", "linked"])
+                    if len(held) * 8 * WINDOW > PART:
+                        yield out()
+                if held:
+                    yield out()
 
     kind, linked = (rows.schema[c].dataType.simpleString() for c in ("doc_id", "linked"))
     own = rows.groupBy("doc_id").agg(F.collect_list(F.struct("key", F.col("at").cast("int").alias("at"), "linked")).alias("own"))
@@ -526,11 +537,55 @@ def _around_key(cost: np.ndarray, key: np.ndarray, size: np.ndarray) -> np.ndarr
     return best.min(axis=1, initial=np.inf)
 
 
-def _bucket(docs: list, at: list[int], lo: list[int], around: list[bytes], linked: list[list[dict]]) -> list[tuple]:
+def _straight(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and end column of the passage around the column AHEAD in each row of hits, both
+    0 if there is none: what _runs gives for two texts without repeats, all of whose
+    common shingles stand at equal distance from the key."""
+    col, wide = np.arange(hit.shape[1], dtype=np.int32), hit.shape[1]
+    before = np.zeros((hit.shape[0], wide + 1), np.int32)
+    np.cumsum(hit, axis=1, out=before[:, 1:])
+    last = np.maximum.accumulate(np.where(hit, col, -wide), axis=1)
+    gap = np.zeros(hit.shape, np.int32)
+    gap[:, 1:] = col[1:] - last[:, :-1]
+    gap[:, 0] = wide
+    gap[~hit] = 0
+    far = gap > GAP
+    first = np.where(far[:, : AHEAD + 1], col[: AHEAD + 1], 0).max(axis=1)
+    to = np.where(far[:, AHEAD + 1 :], col[AHEAD + 1 :], wide).min(axis=1)
+    end = last[np.arange(to.size), to - 1] + 1
+    todo = np.flatnonzero(hit[:, AHEAD])
+    found = np.zeros(to.size, bool)
+    while todo.size:
+        size, shared = end[todo] - first[todo], before[todo, end[todo]] - before[todo, first[todo]]
+        fits = size >= LEAST_LENGTH
+        good = fits & (100 * shared >= PERCENT * (2 * size - shared))
+        found[todo[good]] = True
+        todo, shared = todo[fits & ~good], shared[fits & ~good]
+        if todo.size:  # too much was edited: cut at the widest gap, of equal ones at the middle one
+            s, e = first[todo, None], end[todo, None]
+            space = np.where((col > s) & (col < e), gap[todo], 0)
+            rank = before[todo, :-1] - before[todo, first[todo]][:, None] - 1
+            off = np.where(space == space.max(axis=1, keepdims=True), np.abs(rank - ((shared - 1) // 2)[:, None]), wide)
+            cut = off.argmin(axis=1)
+            low = cut <= AHEAD
+            first[todo[low]] = cut[low]
+            end[todo[~low]] = (cut - space[np.arange(cut.size), cut] + 1)[~low]
+    return np.where(found, first, 0), np.where(found, end, 0)
+
+
+def _exact(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and end column of the run of hits around the column AHEAD in each row."""
+    col = np.arange(hit.shape[1])
+    first = np.where(hit[:, : AHEAD + 1], -1, col[: AHEAD + 1]).max(axis=1) + 1
+    return first, np.where(hit[:, AHEAD:], hit.shape[1], col[AHEAD:]).min(axis=1)
+
+
+def _bucket(docs: list, at: list[int], lo: list[int], around: list[bytes], linked: list[tuple]) -> list[tuple]:
     """(a, b, s, e, p, q, b_at, a_at) of a key: passages around it, s to e of b and p to q of
-    a, that link the places which no chain of passages links yet."""
+    a, that link the places which no chain of passages links yet.  `linked` has (a, place,
+    the row's number)."""
     chains, out = _Chains(len(docs)), []
-    places = sorted([(x["a"], x["place"], i) for i, own in enumerate(linked) for x in own] + [(d, k, i) for i, (d, k) in enumerate(zip(docs, at, strict=True))])
+    places = sorted(linked + list(zip(docs, at, range(len(docs)), strict=True)))
     doc, place, one = places[0]
     for d, k, i in places[1:]:
         if d == doc and k - place <= DRIFT:
@@ -558,7 +613,7 @@ def _bucket(docs: list, at: list[int], lo: list[int], around: list[bytes], linke
     key = np.array([at[i] - lo[i] for i in rep])
     size = np.array([len(around[i]) // 4 for i in rep])
     owner = {d: i for i, d in enumerate(dict.fromkeys(docs))}
-    sole = np.array([owner[docs[x[0]]] if len({docs[i] for i in x}) == 1 else -1 - n for n, x in enumerate(rows)])
+    sole = np.array([owner[docs[x[0]]] if len(x) == 1 or len({docs[i] for i in x}) == 1 else -1 - n for n, x in enumerate(rows)])
     words, flat = np.unique(np.frombuffer(b"".join(around[i] for i in rep), "<u4"), return_inverse=True)
     wide = int(size.max())
     held = np.arange(wide)[None, :] < size[:, None]
@@ -570,6 +625,10 @@ def _bucket(docs: list, at: list[int], lo: list[int], around: list[bytes], linke
     np.put_along_axis(new, order[:, 1:], ranked[:, 1:] != ranked[:, :-1], axis=1)
     repeats = (held & ~new).any(axis=1)
     least = _distinct_least(order, ranked, size)
+    # the rows with their keys in one column
+    beside = np.full((len(rep), 2 * AHEAD + 1), -1, np.int32)
+    column = np.arange(wide)[None, :] + AHEAD - key[:, None]
+    beside[np.nonzero(held)[0], column[held]] = flat
     # for each word the rows that hold it; those in all rows tell nothing
     row_of, word_of = np.nonzero(held & new)[0], which[held & new]
     post = row_of[np.argsort(word_of, kind="stable")]
@@ -591,41 +650,63 @@ def _bucket(docs: list, at: list[int], lo: list[int], around: list[bytes], linke
         other = np.flatnonzero((7 * shared >= 3 * (least + least[c])) & (group != group[c]) & (sole != sole[c]))
         if not other.size:
             continue
+
+        def join(j: int, span: tuple[int, int, int, int] | None) -> None:
+            if span and (pair := next(((x, y) for x in rows[c] for y in rows[j] if docs[x] != docs[y]), None)):
+                add(*pair, span)
+                group[group == group[j]] = group[c]
+
+        # all that are shared side by side need no search, nor does an exact passage
+        hit = (beside[other] == beside[c]) & (beside[c] >= 0)
+        again, here = repeats[other] | repeats[c], hit.sum(axis=1)
+        plain = ~again & (here == shared[other]) & hit[:, AHEAD]
+        (s, e), to_search = _exact(hit), []
+        first, end = np.where(e - s >= LEAST_LENGTH, s, 0), np.where(e - s >= LEAST_LENGTH, e, 0)
+        first[plain], end[plain] = _straight(hit[plain])
+        for i in np.argsort(-here, kind="stable").tolist():
+            j, s, e = int(other[i]), int(first[i]), int(end[i]) + K - 1
+            if end[i] and group[j] != group[c]:
+                y, x = int(key[j]) - AHEAD, int(key[c]) - AHEAD
+                join(j, (s + y, e + y, s + x, e + x))
+        open_ = (end == 0) & ~plain & (group[other] != group[c])
+        if not open_.any():
+            continue
+        other, again = other[open_], again[open_]
         mark[own] = 1
         hit, shared = mark[which[other]], shared[other]
         mark[own] = 0
         # what is lost of both texts is a third of what they share at most: n - 7/6 h of n
         # shingles and h hits sum to 0 at most; shingles that repeat count once, where they are new
-        again = repeats[other] | repeats[c]
         spot[once] = np.arange(once.size)
         seen = np.zeros((other.size, wide + 1), np.uint8)
         seen[np.arange(other.size)[:, None], spot[which[other]]] = 1
         spot[once] = wide
         seen = seen[:, place]
         lost = np.where(again, -shared / 3, 0)
-        for h, first, at_, size_ in ((hit, new[other], key[other], size[other]), (seen, new[c : c + 1, :n], np.full(other.size, key[c]), np.full(other.size, n))):
-            lost += _around_key(np.where(again[:, None], first & (h == 0), 1 - h * np.float32(7 / 6)), at_, size_)
-        for j, worth in sorted(zip(other.tolist(), lost.tolist(), strict=True), key=lambda x: x[1]):
+        for h, fresh, at_, size_ in ((hit, new[other], key[other], size[other]), (seen, new[c : c + 1, :n], np.full(other.size, key[c]), np.full(other.size, n))):
+            lost += _around_key(np.where(again[:, None], fresh & (h == 0), 1 - h * np.float32(7 / 6)), at_, size_)
+        for j, worth, twice in sorted(zip(other.tolist(), lost.tolist(), again.tolist(), strict=True), key=lambda x: x[1]):
             if worth > 1e-3:
                 break
-            if group[j] == group[c]:
-                continue
-            pair = next(((x, y) for x in rows[c] for y in rows[j] if docs[x] != docs[y]), None)
-            if pair and (span := _passage_at(own, which[j, : size[j]], int(key[c]), int(key[j]))):
-                add(*pair, span)
-                group[group == group[j]] = group[c]
+            if group[j] != group[c]:
+                join(j, (_passage_along if twice else _passage_at)(own, which[j, : size[j]], int(key[c]), int(key[j])))
 
 
 def _distinct_least(order: np.ndarray, ranked: np.ndarray, size: np.ndarray) -> np.ndarray:
     """At least so many distinct shingles has a passage of each row, sorted as `ranked`."""
     out = np.full(size.size, LEAST_LENGTH)
-    some = np.flatnonzero(((ranked[:, 1:] == ranked[:, :-1]) & (np.arange(1, order.shape[1])[None, :] < size[:, None])).any(axis=1))
-    if some.size:
-        before, (order, ranked, size) = np.full((some.size, order.shape[1]), -1), (x[some] for x in (order, ranked, size))
-        np.put_along_axis(before, order[:, 1:], np.where(ranked[:, 1:] == ranked[:, :-1], order[:, :-1], -1), axis=1)
-        for i in range(int(size.max()) - LEAST_LENGTH + 1):
-            count = (before[:, i : i + LEAST_LENGTH] < i).sum(axis=1)
-            out[some] = np.where(i + LEAST_LENGTH <= size, np.minimum(out[some], count), out[some])
+    row, at = np.nonzero((ranked[:, 1:] == ranked[:, :-1]) & (np.arange(1, order.shape[1])[None, :] < size[:, None]))
+    if row.size:  # one isn't new in the stretches that hold the one before it
+        now, before = order[row, at + 1], order[row, at]
+        near = now - before < LEAST_LENGTH
+        row, now, before = row[near], now[near], before[near]
+        some, row = np.unique(row, return_inverse=True)
+        again = np.zeros((some.size, order.shape[1] + 1), np.int64)
+        np.add.at(again, (row, np.maximum(now - LEAST_LENGTH + 1, 0)), 1)
+        np.add.at(again, (row, before + 1), -1)
+        again = np.cumsum(again, axis=1)
+        again[np.arange(again.shape[1])[None, :] + LEAST_LENGTH > size[some, None]] = 0
+        out[some] -= again.max(axis=1, initial=0)
     return out
 
 
@@ -634,6 +715,20 @@ def _passage_at(x: np.ndarray, y: np.ndarray, x_at: int, y_at: int) -> tuple[int
     return next((span for span in _runs(x, y) if _covers(span, y_at, x_at)), None)
 
 
+def _passage_along(x: np.ndarray, y: np.ndarray, x_at: int, y_at: int) -> tuple[int, int, int, int] | None:
+    """A passage of y and x that brings these places together, of texts that repeat
+    themselves; one that brings others together is found at those."""
+    seg = _segments(x, y)
+    seg = seg[np.lexsort((seg[:, 2], seg[:, 1]))]
+    seed = np.flatnonzero((seg[:, 0] == x_at - y_at) & (seg[:, 1] <= y_at) & (y_at < seg[:, 2]))
+    if not seed.size:
+        return None
+    chain = seg[_chain(seg, int(seed[0]))]
+    if chain[:, 2].max() - chain[:, 1].min() < LEAST_LENGTH:
+        return None
+    return next((span for span in _cut(x, y, chain) if _covers(span, y_at, x_at)), None)
+
+
 def _candidates(rows: DataFrame) -> DataFrame:
     """(a, b, known), a < b: what _bucket gives for each key."""
     names = ["a", "b", "s", "e", "p", "q", "b_at", "a_at"]
@@ -642,9 +737,16 @@ def _candidates(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(table: pa.Table) -> pa.RecordBatch:
             key = np.asarray(table.column("key"))
-            own = [table.column(c).to_pylist() for c in ("doc_id", "at", "lo", "around", "linked")]
+            own = [table.column(c).to_pylist() for c in ("doc_id", "at", "lo", "around")]
+            links = pa.chunked_array(table.column("linked")).combine_chunks()
+            count = np.asarray(pc.fill_null(pc.list_value_length(links), 0))
+            flat, till, row = links.flatten(), np.append(0, np.cumsum(count)), np.repeat(np.arange(count.size), count).tolist()
+            a, place = flat.field("a").to_pylist(), flat.field("place").to_pylist()
             ends = np.append(np.flatnonzero(key[1:] != key[:-1]) + 1, key.size).tolist()
-            found = [x for lo, hi in zip([0, *ends[:-1]], ends, strict=True) if hi - lo > 1 for x in _bucket(*(c[lo:hi] for c in own))]
+            found: list[tuple] = []
+            for lo, hi in zip([0, *ends[:-1]], ends, strict=True):
+                if hi - lo > 1:
+                    found += _bucket(*(c[lo:hi] for c in own), [(a[i], place[i], row[i] - lo) for i in range(till[lo], till[hi])])
             columns, kind = list(zip(*found, strict=True)) or [()] * len(names), table.schema.field("doc_id").type
             return pa.RecordBatch.from_arrays([pa.array(c, kind if n in "ab" else pa.int32()) for n, c in zip(names, columns, strict=True)], names=names)
 
@@ -670,9 +772,7 @@ def _candidates(rows: DataFrame) -> DataFrame:
 def shared_passages(docs: DataFrame, work: Work) -> DataFrame:
     """What _matches gives for all pairs that are compared; docs (doc_id, text) have one
     row for each id."""
-    keys = work.table(paragraph_keys(docs), "paragraphs")  # hashed once, read for the sizes and the join
-    named = work.table(_keys_left(keys), "keys")
-    work.drop("paragraphs")
+    named = work.table(_keys_left(paragraph_keys(docs)), "keys")
     found = work.table(_matches(work.table(_closest(named), "pairs-0"), docs), "matches-0")
     left = work.table(_open(named.drop("centre"), found), "open")
     work.drop("keys")

@@ -584,6 +584,44 @@ def test_op7_pairs_grow_as_the_group(spark, monkeypatch):
     assert np.mean(share) >= 0.97
 
 
+def around_key(rows):
+    """Arguments of _bucket for (document, words, place of the key's shingle)."""
+    texts = [next(op7_substring._texts(pa.array([" ".join(w)]))).shingles for _, w, _ in rows]
+    return [d for d, _, _ in rows], [k for _, _, k in rows], [0] * len(rows), [(t >> np.uint64(32)).astype("<u4").tobytes() for t in texts], []
+
+
+def test_op7_places_are_tested_without_a_search(monkeypatch):
+    """Words replaced in one of two texts leave the others side by side: the search for
+    passages would give what a look at those gives."""
+    r, searched, runs = random.Random(26), [], op7_substring._runs
+    rows = []
+    for i in range(300):
+        words = prose(r, 105, 10**9).split()
+        copy = [w if 45 <= k < 60 or r.random() > 0.06 else "zz" + str(r.randrange(10**9)) for k, w in enumerate(words)]
+        cut = r.choice((0, 0, 20))  # a text that begins there
+        rows.append([(2 * i, words, 50), (2 * i + 1, copy[cut:], 50 - cut)])
+    want = []
+    for (_, x, x_at), (_, y, y_at) in rows:
+        x, y = (next(op7_substring._texts(pa.array([" ".join(w)]))).shingles for w in (x, y))
+        want.append(op7_substring._passage_at(x, y, x_at, y_at))
+    assert 50 < sum(w is not None for w in want) < 250
+    monkeypatch.setattr(op7_substring, "_runs", lambda x, y: searched.append(1) or runs(x, y))
+    found = [op7_substring._bucket(*around_key(pair)) for pair in rows]
+    for span, got in zip(want, found, strict=True):
+        assert [g[2:6] for g in got] == ([span] if span else [])
+    assert not searched
+
+
+def test_op7_exact_passages_of_texts_that_repeat_themselves(monkeypatch):
+    """A line over and over with a passage that another text has too, at another line."""
+    r, runs = random.Random(27), []
+    monkeypatch.setattr(op7_substring, "_runs", lambda x, y: runs.append(1) or [])
+    line, passage = prose(r, 16, 10**9).split(), prose(r, 28, 10**9).split()
+    x = prose(r, 20, 10**9).split() + line + passage + line
+    y = line + line + passage + line
+    assert [g[:2] for g in op7_substring._bucket(*around_key([(1, x, 26), (2, y, 22)]))] == [(1, 2)] and not runs
+
+
 def test_op7_repeated_ids(spark):
     r = random.Random(23)
     passage = prose(r, 70, 10**6)
