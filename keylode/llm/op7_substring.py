@@ -16,7 +16,8 @@ with nothing.  Documents with a colliding paragraph are linked in two steps:
    the one around the key counts.
 
 So no place of a key is left out that has a passage in common with another one there,
-whatever else the documents share; a key of n places makes n - 1 pairs at most, and has no
+whatever else the documents share (in texts that repeat themselves: a passage that brings
+these two places together); a key of n places makes n - 1 pairs at most, and has no
 cap.  A document's places of one key stand each for itself.
 
 Passages are read off the full shingle sequences: runs of shingles in the same order
